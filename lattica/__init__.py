@@ -1,0 +1 @@
+"""Spark-native vector search, document ingestion and retrieval."""
