@@ -67,8 +67,17 @@ _MAY_SPEAK = re.compile(r"(?<!\w)(?:zero|two|three|four|five|seven|eight|nine|zw
 
 _AT_WORD, _DOT_WORD = r"(?:at|arroba|arobase|chez|klammeraffe|ät)", r"(?:dot|punkt|punto|point|pt)"
 _OPEN, _CLOSE = r"[ ]?[\[({<][ ]?", r"[ ]?[\])}>][ ]?"
-_BRACKETED = re.compile(rf"(?<=[\w.+%-]){_OPEN}(?:({_AT_WORD}|@)|({_DOT_WORD}|\.)){_CLOSE}(?=\w)|(?<=[\w.+%-])[ _-]{{1,2}}(?:({_AT_WORD.upper()})|({_DOT_WORD.upper()}))[ _-]{{1,2}}(?=\w)", re.I)
-_WRITTEN = re.compile(rf"(?<![\w.])[\w+%-]+(?:(?:\.|[ ]{_DOT_WORD}[ ])[\w+%-]+)*([ ]?@[ ]?|[ ]{_AT_WORD}[ ])[\w-]+(?:(?:\.|[ ]{_DOT_WORD}[ ])[\w-]+)*[ ]{_DOT_WORD}[ ][a-z]{{2,24}}(?!\w)", re.I)
+_BRACKETED = re.compile(rf"(?<=[\w.+%-]){_OPEN}(?:({_AT_WORD}|@)|({_DOT_WORD}|\.)){_CLOSE}(?=\w)", re.I)
+#: Without brackets only words that go together count, before a top-level domain that is no common word.
+_SUFFIX = r"(?:com|org|net|edu|gov|mil|info|biz|io|dev|app|eu|uk|us|ca|au|nz|de|ch|fr|be|es|mx|pt|br|nl|pl|se|dk|ru|cn|jp|kr)"
+
+
+def _written(at: str, dot: str) -> str:
+    more = rf"(?:(?:\.|[ ]{dot}[ ])[\w%+-]+)*"
+    return rf"[\w+%-]+{more}(?:[ ]?@[ ]?|[ ]{at}[ ])[\w-]+{more}[ ]{dot}[ ]{_SUFFIX}(?!\w)"
+
+
+_WRITTEN = re.compile(r"(?<![\w.])(?:" + "|".join([_written("(?:at|ät)", "(?:dot|punkt)"), _written("arroba", "(?:punto|dot)"), _written("arobase", "(?:point|dot)")]) + ")", re.I)
 _WRITTEN_SIGN = re.compile(rf"[ ](?:({_AT_WORD})|({_DOT_WORD}))[ ]|[ ]@[ ]|[ ]@|@[ ]", re.I)
 _SPACED = re.compile(r"(?<=[\w.])[ ]?@[ ](?=(?:[\w-]+\.)+[a-z]{2,24}(?!\w))|(?<=[\w.])[ ]@(?=(?:[\w-]+\.)+[a-z]{2,24}(?!\w))", re.I)
 _MAY_SIGN = re.compile(rf"[\[({{<][ ]?(?:{_AT_WORD}|{_DOT_WORD}|@|\.)[ ]?[\])}}>]|[ _-]{_DOT_WORD}[ _-]|[ ]@|@[ ]", re.I)
@@ -156,7 +165,7 @@ def spoken(text: str) -> Edited | None:
                 times, _, word = m[1].lower().replace("-", " ").rpartition(" ")
                 edits.append((m.start(), m.end(), _DIGITS.get(word, word) * _TIMES.get(times, 1)))
     if _MAY_SIGN.search(text):
-        edits += [(m.start(), m.end(), "@" if m[1] or m[3] or "@" in m[0] else ".") for m in _BRACKETED.finditer(text)]
+        edits += [(m.start(), m.end(), "@" if m[1] else ".") for m in _BRACKETED.finditer(text)]
         for address in _WRITTEN.finditer(text):
             for m in _WRITTEN_SIGN.finditer(text, address.start(), address.end()):
                 edits.append((m.start(), m.end(), "@" if m[1] or "@" in m[0] else "."))
