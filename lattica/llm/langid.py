@@ -109,6 +109,9 @@ def text_evidence(texts: list[bytes | None], table: np.ndarray) -> np.ndarray:
     for at, (data, start, end) in _runs(texts):
         h = trigrams(data)
         good = end - start > 2
+        if not good.any():
+            continue
+        at, start, end = np.array(at)[good], start[good], end[good]
         where = np.stack([start, np.minimum(end - 2, len(h) - 1)], 1).ravel()
         last = end[-1] - 2
         for k, row in enumerate(table):
@@ -116,7 +119,7 @@ def text_evidence(texts: list[bytes | None], table: np.ndarray) -> np.ndarray:
             sums = np.add.reduceat(values, where, dtype=np.float64)[::2]
             if last == len(h) and where[-1] == last - 1:  # the run's last text ends with the array
                 sums[-1] += values[-1]
-            np.add.at(scores[:, k], np.array(at)[good], sums[good])
+            np.add.at(scores[:, k], at, sums)
     scores *= SHARE
     scores -= scores.max(axis=1, keepdims=True, initial=-np.inf)
     return np.maximum(scores, -LIMIT)
