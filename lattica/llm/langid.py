@@ -95,7 +95,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
 
 
 def visible(html: str) -> bytes:
-    return _DROP.sub(b" ", html.encode()).lower()
+    return b" ".join(_DROP.sub(b" ", html.lower().encode()).split())
 
 
 def declared(html: str) -> str | None:
