@@ -1,7 +1,7 @@
 """Exact Jaccard self-join of documents over word n-grams, by vertical partitioning.
 
 1. One pass over the texts hashes every document's distinct n-grams and scatters them, packed, into hash
-   fragments of about two million.  A fragment sees every occurrence of its n-grams, so it tells each
+   fragments of about a million.  A fragment sees every occurrence of its n-grams, so it tells each
    document which of them no other document has.  A document with more than (1 - threshold) of its n-grams
    to itself can have no partner; that exact test removes almost all documents.
 2. The survivors collapse to one per distinct n-gram set; the same bounce among these gives each n-gram its
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .ngrams import _IS_WORD, chunks, mix64, ngram_hashes
 from .shared import written
 
-FRAGMENT = 2_000_000
+FRAGMENT = 1_000_000
 _LOW48 = np.uint64((1 << 48) - 1)
 _SCATTERED = "part int, chunk bigint, frag int, a binary, b binary, c binary"
 _RETURNED = "chunk bigint, frag int, a binary, b binary, c binary, d binary"
@@ -230,7 +230,7 @@ def _prefix(threshold: float, parts: int):
     return prefix
 
 
-def _posting_pairs(keys: np.ndarray, limit: int = 4_000_000):
+def _posting_pairs(keys: np.ndarray, limit: int = 1_000_000):
     """Index pairs (i < j) of equal values in the ascending ``keys``, a block at a time."""
     new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
     size = np.diff(np.append(new, len(keys)))
@@ -271,7 +271,7 @@ def _candidates(threshold: float):
             ok = (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - _EPS) & (np.minimum(left[i], left[j]) >= share * (na + nb) - _EPS)
             found.append(np.unique(a[ok] << 32 | b[ok]))
             held += len(found[-1])
-            if held > 8_000_000 and len(found) > 1:
+            if held > 2_000_000 and len(found) > 1:
                 found = [np.unique(np.concatenate(found))]
                 held = len(found[0]) // 2
         codes = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
@@ -329,7 +329,7 @@ def _partial(left: pa.Table, right: pa.Table) -> pa.Table:
         c, k = np.unique(local[i] << 32 | local[j], return_counts=True)
         codes.append(c), counts.append(k)
         held_codes += len(c)
-        if held_codes > 8_000_000 and len(codes) > 1:
+        if held_codes > 2_000_000 and len(codes) > 1:
             codes, counts = ([x] for x in _sum(codes, counts))
             held_codes = len(codes[0]) // 2
     if not codes:
