@@ -9,10 +9,11 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, MapType, NumericType, StringType, StructType, VariantType
+from pyspark.sql.types import ArrayType, BooleanType, IntegralType, MapType, NumericType, StringType, StructType, VariantType
 
 OPERATORS = ("eq", "ne", "gt", "gte", "lt", "lte", "in", "not_in", "contains", "exists")
 _RESERVED = {"and", "or", "not", "field", "operator", "value"}
@@ -28,6 +29,7 @@ class Field:
     present: Column
     strings: Column | None = None
     numbers: Column | None = None
+    whole: Column | None = None
 
 
 def _nothing(kind: str) -> Column:
@@ -44,6 +46,7 @@ def typed_field(column: Column, kind) -> Field:
         present=column.isNotNull(),
         strings=column if is_array and isinstance(kind.elementType, StringType) else None,
         numbers=column.cast("array<double>") if is_array and isinstance(kind.elementType, NumericType) else None,
+        whole=column if isinstance(kind, IntegralType) else None,
     )
 
 
@@ -82,13 +85,21 @@ def resolver(df: DataFrame, metadata_col: str | None = None) -> Callable[[str],
     return find
 
 
+def _number(field: Field, value: float) -> tuple[Column, Column]:
+    """Sides of a comparison: of whole numbers as such, which a scan can take over, else of doubles."""
+    if field.whole is not None and value == value // 1 and abs(value) < 2**31:
+        return field.whole, F.lit(int(value))
+    return field.number, F.lit(float(value))
+
+
 def _equal(field: Field, value) -> Column:
     if value is None:
         return ~field.present
     if isinstance(value, bool):
         return field.boolean == value
     if isinstance(value, int | float):
-        return field.number == float(value)
+        a, b = _number(field, value)
+        return a == b
     if isinstance(value, str):
         return field.string == value
     raise ValueError(f"a filter can't compare with {value!r}")
@@ -97,18 +108,15 @@ def _equal(field: Field, value) -> Column:
 def _order(field: Field, value) -> tuple[Column, Column]:
     if isinstance(value, bool) or not isinstance(value, int | float | str):
         raise ValueError(f"a filter can't order by {value!r}")
-    return (field.string, F.lit(value)) if isinstance(value, str) else (field.number, F.lit(float(value)))
+    return (field.string, F.lit(value)) if isinstance(value, str) else _number(field, value)
 
 
 def _any(parts: list[Column]) -> Column:
-    out = F.lit(False)
-    for p in parts:
-        out = out | p
-    return out
+    return reduce(Column.__or__, parts) if parts else F.lit(False)
 
 
 def condition(field: Field, operator: str, value) -> Column:
-    """One leaf, never null."""
+    """One leaf; null counts as false."""
     if operator == "eq":
         held = _equal(field, value)
     elif operator == "ne":
@@ -119,54 +127,57 @@ def condition(field: Field, operator: str, value) -> Column:
     elif operator in ("in", "not_in"):
         if not isinstance(value, list | tuple | set):
             raise ValueError(f"{operator} needs a list")
-        held = F.coalesce(_any([F.coalesce(_equal(field, v), F.lit(False)) for v in value]), F.lit(False))
-        return ~held if operator == "not_in" else held
+        held = _any([_equal(field, v) for v in value])
+        return ~F.coalesce(held, F.lit(False)) if operator == "not_in" else held
     elif operator == "contains":
         parts = []
         if isinstance(value, str):
-            parts.append(F.coalesce(field.string.contains(value), F.lit(False)))
+            parts.append(field.string.contains(value))
             if field.strings is not None:
-                parts.append(F.coalesce(F.array_contains(field.strings, value), F.lit(False)))
+                parts.append(F.array_contains(field.strings, value))
         elif field.numbers is not None and isinstance(value, int | float) and not isinstance(value, bool):
-            parts.append(F.coalesce(F.array_contains(field.numbers, float(value)), F.lit(False)))
+            parts.append(F.array_contains(field.numbers, float(value)))
         held = _any(parts)
     elif operator == "exists":
         return field.present if value is None or value else ~field.present
     else:
         raise ValueError(f"unknown filter operator: {operator!r}")
-    return F.coalesce(held, F.lit(False))
+    return held
 
 
 def compile_filter(spec: dict | str | None, find: Callable[[str], Field]) -> Column:
-    """The predicate for a filter: ``{field, operator, value}``, ``{and: [...]}``, ``{or: [...]}``, ``{not: ...}``, together or
+    """The predicate for a filter, never null; see ``predicate``."""
+    return F.coalesce(predicate(spec, find), F.lit(False))
+
+
+def predicate(spec: dict | str | None, find: Callable[[str], Field]) -> Column:
+    """The condition, null for false, for a filter: ``{field, operator, value}``, ``{and: [...]}``, ``{or: [...]}``, ``{not: ...}``, together or
     nested; other keys are a shorthand for equality.  An empty filter holds."""
     if isinstance(spec, str):
         spec = json.loads(spec)
     if not spec:
         return F.lit(True)
-    out = F.lit(True)
-    for part in spec.get("and") or []:
-        out = out & compile_filter(part, find)
+    held = [predicate(part, find) for part in spec.get("and") or []]
     if spec.get("or"):
-        out = out & _any([compile_filter(part, find) for part in spec["or"]])
+        held.append(_any([predicate(part, find) for part in spec["or"]]))
     if spec.get("not"):
-        out = out & ~compile_filter(spec["not"], find)
+        held.append(~compile_filter(spec["not"], find))
     if spec.get("field"):
-        out = out & condition(find(spec["field"]), spec.get("operator", "eq"), spec.get("value"))
+        held.append(condition(find(spec["field"]), spec.get("operator", "eq"), spec.get("value")))
         extra = {}
     else:
         extra = {k: v for k, v in spec.items() if k not in _RESERVED}
     for name, value in extra.items():
         if isinstance(value, list):
-            out = out & condition(find(name), "in", value)
+            held.append(condition(find(name), "in", value))
         elif isinstance(value, dict) and set(value) <= set(OPERATORS):
             for operator, inner in value.items():
-                out = out & condition(find(name), operator, inner)
+                held.append(condition(find(name), operator, inner))
         else:
-            out = out & condition(find(name), "eq", value)
-    return out
+            held.append(condition(find(name), "eq", value))
+    return reduce(Column.__and__, held) if held else F.lit(True)
 
 
 def apply_filter(df: DataFrame, spec: dict | str | None, metadata_col: str | None = None) -> DataFrame:
     """The rows of ``df`` for which the filter holds."""
-    return df.where(compile_filter(spec, resolver(df, metadata_col))) if spec else df
+    return df.where(predicate(spec, resolver(df, metadata_col))) if spec else df

@@ -16,7 +16,7 @@ ENTITIES = {
 def decode_entities(text: Column, numeric: bool = True) -> Column:
     """Named entities, and numeric ones as their characters; with ``numeric=False`` these become blanks."""
     if numeric:
-        parts = F.regexp_extract_all(text, F.lit(r"&#[0-9]{1,7};"))
+        parts = F.regexp_extract_all(text, F.lit(r"&#[0-9]{1,7};"), 0)
 
         def one(acc: Column, entity: Column) -> Column:
             point = F.regexp_extract(entity, "([0-9]+)", 1).cast("int")
