@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.filters import apply_filter
-from ..functions.metrics import Metric, index_distance, literal, similarity
+from ..functions.metrics import Metric, cosine, index_distance, literal, norm, similarity
 
 DEFAULT_LIMIT, MOST = 10, 1000
 
@@ -86,8 +86,14 @@ def knn_join(rows: DataFrame, queries: DataFrame, k: int, metric: Metric | int |
     The queries are the broadcast side of a nested-loop join; they are the small side by the nature of a batch of
     searches.  ``batch_search`` does the same faster where there are many.
     """
-    joined = rows.select(id_col, vector_col).crossJoin(F.broadcast(queries.select(query_id, query_vector)))
-    found = joined.select(query_id, id_col, similarity(metric, F.col(vector_col), F.col(query_vector)).alias("score"))
+    double = lambda c: F.col(c).cast("array<double>")
+    left = rows.select(F.col(id_col), double(vector_col).alias("__v"), norm(double(vector_col)).alias("__nv"))
+    right = queries.select(F.col(query_id), double(query_vector).alias("__q"), norm(double(query_vector)).alias("__nq"))
+    if Metric.parse(metric) is Metric.COSINE:  # each vector's norm once, not once a pair
+        score = cosine(F.col("__v"), F.col("__q"), F.col("__nv"), F.col("__nq"))
+    else:
+        score = similarity(metric, F.col("__v"), F.col("__q"))
+    found = left.crossJoin(F.broadcast(right)).select(query_id, id_col, score.alias("score"))
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), id_col))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
