@@ -143,7 +143,7 @@ def process_documents(files: DataFrame, language: str = "en", path_col: str = "p
     """
     kind = F.when(T.extension(F.col(path_col)) == "rtf", "rtf").otherwise(T.document_type(F.col(path_col)))
     typed = files.select(F.col(path_col).alias("path"), kind.alias("type"), F.col(content_col).cast("binary").alias("content"))
-    text_like = typed.where(F.col("type").isin("txt", "md", "html")).select("path", "type", F.octet_length("content").cast("bigint").alias("size"), F.decode("content", "UTF-8").alias("raw"), F.create_map().cast("map<string,string>").alias("props"), F.lit(None).cast("string").alias("error"))
+    text_like = typed.where(F.col("type").isin("txt", "md", "html")).select("path", "type", F.octet_length("content").cast("bigint").alias("size"), F.make_valid_utf8(F.col("content").cast("string")).alias("raw"), F.create_map().cast("map<string,string>").alias("props"), F.lit(None).cast("string").alias("error"))
     binary = _binary_text(typed.where(~F.col("type").isin("txt", "md", "html")))
     rows, raw, is_html, is_md = text_like.unionByName(binary), F.col("raw"), F.col("type") == "html", F.col("type") == "md"
     content = F.when(is_html, H.html_text(raw)).otherwise(T.clean_text(raw))
@@ -183,6 +183,6 @@ def code_files(files: DataFrame, root: str = "", max_size: int = 100_000, max_fi
     """``path, language, size, content`` of a repository's source files: known languages, no build output, small, the first ``max_files`` by path."""
     path = F.regexp_replace(F.col("path"), "^(?:file:/*)?" + re.escape("/" + root.strip("/") + "/" if root else ""), "")
     kinds = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
-    rows = files.where(F.col("length") <= max_size).select(path.alias("path"), F.col("length").alias("size"), F.decode(F.col("content"), "UTF-8").alias("content"))
+    rows = files.where(F.col("length") <= max_size).select(path.alias("path"), F.col("length").alias("size"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
     rows = rows.withColumn("language", F.try_element_at(kinds, T.extension(F.col("path")))).where("language IS NOT NULL").where(~F.col("path").rlike(IGNORED))
     return rows.select("path", "language", "size", "content").orderBy("path").limit(max_files)
