@@ -26,9 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ngrams import _IS_WORD, chunks, mix64, ngram_hashes
-from .shared import written
+from .shared import release, written
 
 FRAGMENT = 1_000_000
+PAIRS = 500_000
 _LOW48 = np.uint64((1 << 48) - 1)
 _SCATTERED = "part int, chunk bigint, frag int, a binary, b binary, c binary"
 _RETURNED = "chunk bigint, frag int, a binary, b binary, c binary, d binary"
@@ -46,6 +47,16 @@ def _unpack48(b: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def _pack_counts(at: np.ndarray, counts: np.ndarray) -> bytes:
+    """Counts of the places that have one, so that a run's small fragments take little."""
+    return at.astype(np.uint32).tobytes() + counts.astype(np.uint32).tobytes()
+
+
+def _unpack_counts(b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(b, np.uint32).astype(np.int64)
+    return both[: len(both) // 2], both[len(both) // 2 :]
+
+
 def _column(table: pa.Table, name: str) -> list:
     return table.column(name).to_pylist()
 
@@ -57,7 +68,7 @@ def frequency_class(df: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(x < 16, x, fine), 255).astype(np.uint8)
 
 
-def _grams_of_texts(batches, n: int, long: int = 3_000_000):
+def _grams_of_texts(batches, n: int, long: int = 1_500_000):
     """(ids, signatures, counts, grams) per run of texts; grams are distinct and ascending within each document."""
 
     def short():
@@ -73,7 +84,7 @@ def _grams_of_texts(batches, n: int, long: int = 3_000_000):
         return np.array(keys, np.int64), sigs, np.array([len(g) for g in parts], np.int64), np.concatenate(parts)
 
     whole: list[tuple[int, bytes]] = []
-    for ids, data, bounds in chunks(short()):
+    for ids, data, bounds in chunks(short(), 1_000_000):
         doc, grams = ngram_hashes(data, bounds, n)
         edges = np.searchsorted(doc, np.arange(len(ids) + 1))
         held = [(i, np.unique(grams[s:e])) for i, s, e in zip(ids, edges[:-1], edges[1:], strict=True) if s < e]
@@ -91,7 +102,7 @@ def _long_texts(whole, n: int, described):
             yield described([i], [np.unique(np.concatenate(parts))])
 
 
-def _pieces(text: bytes, n: int, limit: int = 1_500_000):
+def _pieces(text: bytes, n: int, limit: int = 700_000):
     """A long text cut at words; each piece repeats the n - 1 words before it."""
     at = 0
     while len(text) - at > 2 * limit:
@@ -136,13 +147,14 @@ def _scatter(runs, fragments: int, lengths_in_sig: bool):
         lengths = sigs.astype(np.uint32) if lengths_in_sig else counts.astype(np.uint32)
         rows = [(int((base + k) % fragments), base + k, -1, ids.tobytes(), lengths.tobytes(), sigs.tobytes())]
         for s, e in zip(edges[:-1], edges[1:], strict=True):
-            held = np.bincount(doc[s:e], minlength=len(ids)).astype(np.uint32)
-            rows.append((int(frag[s]), base + k, int(frag[s]), _pack48(low[s:e]), held.tobytes(), None))
+            held = np.flatnonzero(np.concatenate([[True], doc[s + 1 : e] != doc[s : e - 1]]))
+            rows.append((int(frag[s]), base + k, int(frag[s]), _pack48(low[s:e]), _pack_counts(doc[s + held], np.diff(np.append(held, e - s))), None))
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    release()
 
 
 def _fragment(table: pa.Table) -> pa.Table:
-    """Of each run, how many n-grams of each document no other has, and the others with their frequency classes."""
+    """Of each run, how many n-grams of each document others have too, and these with their frequency classes."""
     out = []
     rows = list(zip(*(_column(table, c) for c in ("chunk", "frag", "a", "b", "c")), strict=True))
     for r in rows:
@@ -160,14 +172,21 @@ def _fragment(table: pa.Table) -> pa.Table:
         df[order] = np.repeat(size, size)
         at = 0
         for r, pack in zip(rows, packs, strict=True):
-            held = np.frombuffer(r[3], np.uint32)
+            docs, held = _unpack_counts(r[3])
             mine = df[at : at + len(pack)]
             at += len(pack)
             more = mine > 1
+            if not more.any():
+                continue
             doc = np.repeat(np.arange(len(held)), held)
-            others = np.bincount(doc[more], minlength=len(held)).astype(np.uint32)
-            out.append((r[0], r[1], (held - others).astype(np.uint32).tobytes(), others.tobytes(), _pack48(pack[more]), frequency_class(mine[more]).tobytes()))
+            others = np.bincount(doc[more], minlength=len(held))
+            some = others > 0
+            out.append((r[0], r[1], None, _pack_counts(docs[some], others[some]), _pack48(pack[more]), frequency_class(mine[more]).tobytes()))
     types = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
+    grams = order = g = df = None
+    release()
+    if not out:
+        return pa.table({c: pa.array([], t) for c, t in zip(["chunk", "frag", "a", "b", "c", "d"], types, strict=True)})
     return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["chunk", "frag", "a", "b", "c", "d"])
 
 
@@ -177,11 +196,12 @@ def _gather(threshold: float):
         ids, n, sigs = np.frombuffer(rows[0][1], np.int64), np.frombuffer(rows[0][2], np.uint32).astype(np.int64), np.frombuffer(rows[0][3], np.uint64)
         shared = np.zeros(len(ids), np.int64)
         for r in rows[1:]:
-            shared += np.frombuffer(r[2], np.uint32)
+            at, held = _unpack_counts(r[2])
+            shared[at] += held
         live = shared >= np.ceil(threshold * n - _EPS)
         docs, grams, bins = [], [], []
         for frag, _, held, low, classes in rows[1:]:
-            doc = np.repeat(np.arange(len(ids)), np.frombuffer(held, np.uint32))
+            doc = np.repeat(*_unpack_counts(held))
             keep = live[doc]
             docs.append(doc[keep])
             grams.append(_unpack48(low)[keep] << np.uint64(16) | np.uint64(frag & 0xFFFF))
@@ -275,6 +295,8 @@ def _candidates(threshold: float):
                 found = [np.unique(np.concatenate(found))]
                 held = len(found[0]) // 2
         codes = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+        found.clear()
+        release()
         a, b = codes >> 32, codes & 0xFFFFFFFF
         return pa.table({"a": sets[a], "b": sets[b], "n_a": length[a].astype(np.int32), "n_b": length[b].astype(np.int32)})
 
@@ -338,6 +360,8 @@ def _partial(left: pa.Table, right: pa.Table) -> pa.Table:
     at = np.searchsorted(wanted, code)
     ok = wanted[np.minimum(at, len(wanted) - 1)] == code
     code, count = code[ok], count[ok]
+    grams = local = order = g = packs = None
+    release()
     return pa.table({"a": sets[code >> 32], "b": sets[code & 0xFFFFFFFF], "overlap": count.astype(np.int64)})
 
 
@@ -403,6 +427,9 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, part
     buckets = max(1, math.ceil(int(weights.sum()) / (parts * FRAGMENT)))
     smallest = found.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("home"))
     pairs = found.join(smallest, "a", "left").withColumn("h", F.pmod(F.xxhash64(F.coalesce("home", "a")), F.lit(buckets))).drop("home")
+    # Where a large group has very many pairs, they are dealt by their first member to several tasks.
+    deals = pairs.groupBy("h").agg(F.ceil(F.count("*") / PAIRS).alias("deals"))
+    pairs = pairs.join(deals, "h").withColumn("h", F.pmod(F.xxhash64("h", F.pmod(F.xxhash64("a"), "deals")), F.lit(1 << 40))).drop("deals")
     pairs = written(pairs, "ngram_pairs")
     needed = pairs.select(F.col("a").alias("sig"), "h").union(pairs.select("b", "h")).distinct()
     segments = live.select("sig", "grams", "bins").join(needed, "sig").mapInArrow(_segments(weights, parts), "key bigint, id bigint, grams binary")
