@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .packing import words
+from .shared import written
 
 RULES = ("marks", "shouts", "capitals", "echoes")
 GRID = (20, 40, 60, 80, 100, 150, 200, 250, 300, 400, 500, 700, 1000, 1500, 2000)
@@ -75,6 +76,7 @@ def cutoffs(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: flo
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(f"__{k}").alias("value")) for k in RULES]))
     level = sum((F.col("p.value") >= c).cast("int") for c in GRID)
     counts = rows.select(F.col("__stratum").alias("stratum"), (F.col("__good") >= 1).cast("int").alias("good"), pairs.alias("p")).groupBy("stratum", "good", F.col("p.rule").alias("rule"), level.alias("level")).agg(F.count("*").alias("n"))
+    counts = written(counts, "quality_counts")  # a few rows, used twice
     strata = counts.agg(F.countDistinct("stratum").alias("strata"))
 
     def certify(pdf: pd.DataFrame) -> pd.DataFrame:
