@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .shared import new_path, written
 
-SMALL = 200_000
+SMALL = 10_000
 LEDGER = "blob binary, rules array<string>"
 FINDINGS = "blob binary, rule string, rule_version int, start int, end int, redacted string, secret_hash string"
 
