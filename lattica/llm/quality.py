@@ -34,11 +34,11 @@ def rule_values(text: Column) -> dict[str, Column]:
     """marks, shouts and echoes (a word that equals the one before it) per 1000 words; capitals A-Z per 1000 characters."""
     text = F.coalesce(text, F.lit(""))
     n, chars = F.greatest(words(text), F.lit(1)), F.greatest(F.length(text), F.lit(1))
-    held = F.split(text, r"[\t\n\f\r ]+")
-    echo = F.size(F.filter(F.zip_with(held, F.slice(held, F.lit(2), F.size(held)), lambda a, b: (a == b) & (a != "")), lambda same: same))
+    # A word before which white space ends and after which it comes again, without cutting the text into words.
+    echo = F.regexp_count(text, F.lit(r"(?<![^\t\n\f\r ])([^\t\n\f\r ]++)(?=[\t\n\f\r ]++\1(?![^\t\n\f\r ]))"))
 
     def count(of: str) -> Column:
-        return F.length(text) - F.length(F.translate(text, of, ""))
+        return F.regexp_count(text, F.lit(f"[{of}]"))
 
     per = {"marks": (count(_MARKS), n), "shouts": (count("!"), n), "capitals": (count(_CAPITALS), chars), "echoes": (echo, n)}
     return {k: F.floor(a * 1000 / b).cast("int") for k, (a, b) in per.items()}
