@@ -190,33 +190,50 @@ def _iban(value: str) -> bool:
     return 15 <= len(value) <= 34 and int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
 
 
+def _card(value: str) -> bool:
+    digits = re.sub("[ -]", "", value)
+    return 13 <= len(digits) <= 19 and luhn(digits)
+
+
+def _ends(pattern: re.Pattern, text: str, m: re.Match, limit: int) -> Iterator[int]:
+    """Where a match may end, the longest first: its own end, then those between its groups, none beyond ``limit``."""
+    if m.end() <= limit:
+        yield m.end()
+    for e in range(min(m.end() - 1, limit), m.start(), -1):
+        if text[e] in " .-(" and text[e - 1] not in " .-(" and pattern.fullmatch(text, m.start(), e):
+            yield e
+
+
 def detect(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, kind) of identifiers in a plain text; they don't overlap, and stronger kinds come first."""
     found: list[tuple[int, int, str]] = []
 
-    def add(start: int, end: int, kind: str) -> None:
-        if all(end <= s or start >= e for s, e, _ in found):
-            found.append((start, end, kind))
+    def add(pattern: re.Pattern, kind: str, holds=lambda value: True) -> None:
+        """The longest end of each match that holds and overlaps nothing; without one, the search goes on inside the match."""
+        at = 0
+        while m := pattern.search(text, at):
+            start = m.start()
+            k = bisect_right(found, (start, len(text) + 1))
+            if k and start < found[k - 1][1]:
+                at = found[k - 1][1]
+                continue
+            limit = found[k][0] if k < len(found) else len(text)
+            end = next((e for e in _ends(pattern, text, m, limit) if holds(text[start:e])), None)
+            if end is None:
+                at = start + 1
+            else:
+                found.insert(k, (start, end, kind))
+                at = end
 
     if "@" in text:
-        for m in _EMAIL.finditer(text):
-            add(m.start(), m.end(), "email")
+        add(_EMAIL, "email")
     if _DIGIT.search(text):
-        for m in _IPV4.finditer(text):
-            add(m.start(), m.end(), "ip")
-        for m in _IBAN.finditer(text):
-            if _iban(m[0]):
-                add(m.start(), m.end(), "iban")
-        for m in _CARD.finditer(text):
-            digits = re.sub("[ -]", "", m[0])
-            if 13 <= len(digits) <= 19 and luhn(digits):
-                add(m.start(), m.end(), "card")
-        for m in _SSN.finditer(text):
-            add(m.start(), m.end(), "ssn")
-        for m in _PHONE.finditer(text):
-            if 8 <= sum(c.isdigit() for c in m[0]) <= 15:
-                add(m.start(), m.end(), "phone")
-    return iter(sorted(found))
+        add(_IPV4, "ip")
+        add(_IBAN, "iban", _iban)
+        add(_CARD, "card", _card)
+        add(_SSN, "ssn")
+        add(_PHONE, "phone", lambda value: 8 <= sum(c.isdigit() for c in value) <= 15)
+    return iter(found)
 
 
 _TEN = re.compile(r"(?<![\w.])(?:1?[2-9][0-9]{9}|0[1-9][0-9]{8,10})(?!\w)")
