@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from .shared import written
 
 BUCKETS = 1 << 16
-#: A text's log-likelihood ratio counts a third, as three trigrams share each byte, and up to so much: it may be boilerplate.
+#: A text's log-likelihood ratio counts a third, as three trigrams share each byte.  What it gives to its host's, suffix's and
+#: declaration's sums is floored at so much; the text's own judgement isn't, so that enough text outweighs groups of any size.
 SHARE, LIMIT = 1 / 3, 20.0
 KAPPA = 5.0
 DECLARED_COUNT, DECLARED_RIGHT = 20.0, 0.8
@@ -103,8 +104,8 @@ def declared(html: str) -> str | None:
     return found[1].lower() if found else None
 
 
-def text_evidence(texts: list[bytes | None], table: np.ndarray) -> np.ndarray:
-    """For each text and language the tempered log-likelihood, 0 for the likeliest."""
+def text_evidence(texts: list[bytes | None], table: np.ndarray, limit: float = LIMIT) -> np.ndarray:
+    """For each text and language the tempered log-likelihood, 0 for the likeliest and ``-limit`` at least."""
     scores = np.zeros((len(texts), len(table)))
     for at, (data, start, end) in _runs(texts):
         h = trigrams(data)
@@ -122,7 +123,7 @@ def text_evidence(texts: list[bytes | None], table: np.ndarray) -> np.ndarray:
             np.add.at(scores[:, k], at, sums)
     scores *= SHARE
     scores -= scores.max(axis=1, keepdims=True, initial=-np.inf)
-    return np.maximum(scores, -LIMIT)
+    return np.maximum(scores, -limit)
 
 
 def _posterior(scores: np.ndarray) -> np.ndarray:
@@ -150,7 +151,7 @@ def _evidence(rows: DataFrame, model, is_html: bool) -> DataFrame:
             bodies = bodies.to_pylist()
             said = [declared(b) if b else None for b in bodies] if is_html else [None] * len(bodies)
             texts = [visible(b) if b else None for b in bodies] if is_html else bodies
-            yield pa.RecordBatch.from_arrays([ids, hosts, pa.array(said, pa.string()), _floats(text_evidence(texts, table))], names=["id", "host", "declared", "text"])
+            yield pa.RecordBatch.from_arrays([ids, hosts, pa.array(said, pa.string()), _floats(text_evidence(texts, table, np.inf))], names=["id", "host", "declared", "text"])
 
     return rows.mapInArrow(score, "id bigint, host string, declared string, text array<double>")
 
@@ -164,7 +165,7 @@ def fuse(found: DataFrame, langs: list[str]) -> DataFrame:
     n = len(langs)
     domain = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
     suffix = F.regexp_extract("host", r"\.([a-z][a-z0-9-]*)$", 1)
-    p = F.transform("text", lambda x: F.exp(x))
+    p = F.transform("text", lambda x: F.exp(F.greatest(x, F.lit(-LIMIT))))
     rows = found.withColumns({"p": p}).withColumn("p", F.transform("p", lambda x: x / F.aggregate("p", F.lit(0.0), lambda a, b: a + b)))
     rows = rows.withColumns({"domain": F.when(domain != "", domain).otherwise(F.col("host")), "suffix": F.when(suffix != "", suffix)})
     whole = rows.agg(F.array(*[F.sum(F.col("p")[k]) for k in range(n)]).alias("whole")).first()[0]
