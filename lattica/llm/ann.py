@@ -11,7 +11,9 @@
    m and the number of bits are those that send least; where the radius is wide (directions without structure)
    that is every unit of one index, where it is narrow a few.
 5. Probe: in a unit every code within the radius is retrieved, its vector's exact cosine taken, and the ``k`` best
-   kept; the units' answers are merged.
+   kept; the units' answers are merged.  Where a row is sent to every unit anyway, the radius excludes nothing.
+6. Widen: a row with fewer than ``k`` results, or whose k-th is so far that nearer rows may well lie outside the
+   radius, is asked again with a wider one, in the end against all rows.
 """
 
 from __future__ import annotations
@@ -170,6 +172,16 @@ def calibrated_radius(coded: DataFrame, dims: int, bits: int, k: int, probes: in
     return bits
 
 
+def settling_cosine(bits: int, radius: int, reach: float = REACH) -> float:
+    """The least cosine at which codes lie within the radius with probability ``reach``, each sign differing with that of a random plane."""
+    low, high = 0.0, 1.0  # share of planes between two rows
+    for _ in range(50):
+        p = (low + high) / 2
+        inside = sum(math.comb(bits, i) * p**i * (1 - p) ** (bits - i) for i in range(min(bits, radius) + 1))
+        low, high = (p, high) if inside >= reach else (low, p)
+    return math.cos(math.pi * low)
+
+
 def _search(k: int, bits: int, dims: int, radius: int):
     """Function for a unit: each query's best ``k`` among the stored rows whose codes lie within the radius."""
 
@@ -200,10 +212,12 @@ def _unpack(table: pa.Table, dims: int):
 
 
 def nearest_neighbours(df: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", reach: float = REACH, radius: int | None = None, unit: int = UNIT) -> DataFrame:
-    """Each row's ``k`` nearest others by cosine: ``vec_id, neighbour, cosine``, ``k`` rows for each row or fewer.
+    """Each row's ``k`` nearest others by cosine: ``vec_id, neighbour, cosine``, ``k`` rows for each row if there are so many others.
 
-    Exact among the codes within the radius (``radius``, or the one that holds ``reach`` of the true neighbours of
-    ``PROBES`` rows).  Of equal cosines (to 9 places) the smaller ids come first.  Rows of one id are never each
+    Exact among the codes within the row's radius, at first the one that holds ``reach`` of the true neighbours of
+    ``PROBES`` rows; exact where that sends rows to every unit.  It widens for a row until ``k`` are found and codes
+    as near as the k-th lie within it with probability ``reach``.  With ``radius`` it is that one for all rows, and
+    rows may have fewer than ``k``.  Of equal cosines (to 9 places) the smaller ids come first.  Rows of one id are never each
     other's neighbours; repeated rows and rows that share an id count as one row for an id, at its best cosine.  Null ids and vectors
     that are null, empty, zero, not finite or not of the commonest length have no neighbours and are none.  Other
     columns are not read; an empty table gives no rows.
@@ -224,12 +238,9 @@ def nearest_neighbours(df: DataFrame, k: int = 10, id_col: str = "vec_id", vecto
 
     coded = written(rows.mapInArrow(code, "id bigint, v binary, code bigint").distinct(), "ann_codes")
     n = coded.count()
-    if radius is None:
-        radius = calibrated_radius(coded, dims, bits, k, reach=reach)
-    m, first, each = plan(n, bits, radius, unit)
 
     # A unit's rows are dealt further to ``deal`` parts of its queries, so no task holds more than some thousands of either.
-    def spread(asked: bool):
+    def spread(rows: DataFrame, asked: bool, m: int, first: int, each: list[int], deal: int):
         def send(batches):
             for batch in batches:
                 if not batch.num_rows:
@@ -250,11 +261,34 @@ def nearest_neighbours(df: DataFrame, k: int = 10, id_col: str = "vec_id", vecto
                     [pa.array([o[0] for o in out], pa.int64()), *[pa.array([x[o[1]].tobytes() for o in out], pa.binary()) for x in (ids, v, codes)]], names=["key", "ids", "vs", "codes"]
                 )
 
-        return coded.select("id", "v", "code").mapInArrow(send, "key bigint, ids binary, vs binary, codes binary")
-
-    sent = n * sum(ball(first, r) for r in each) / max(1, m << first)  # queries in a unit
-    deal = max(1, math.ceil(sent / (2 * unit)))
-    found = spread(False).groupBy("key").cogroup(spread(True).groupBy("key")).applyInArrow(_search(k, bits, dims, radius), SCHEMA)
-    best = found.groupBy("vec_id", "neighbour").agg(F.round(F.max("cosine"), 9).alias("cosine"))
-    rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("cosine"), "neighbour"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+        return rows.select("id", "v", "code").mapInArrow(send, "key bigint, ids binary, vs binary, codes binary")
+
+    def probe(asked: DataFrame, n_asked: int, radius: int, m: int, first: int, each: list[int]) -> DataFrame:
+        sent = n_asked * sum(ball(first, r) for r in each) / max(1, m << first)  # queries in a unit
+        deal = max(1, math.ceil(sent / (2 * unit)))
+        stored, queries = spread(coded, False, m, first, each, deal), spread(asked, True, m, first, each, deal)
+        found = stored.groupBy("key").cogroup(queries.groupBy("key")).applyInArrow(_search(k, bits, dims, radius), SCHEMA)
+        best = found.groupBy("vec_id", "neighbour").agg(F.round(F.max("cosine"), 9).alias("cosine"))
+        rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("cosine"), "neighbour"))
+        return best.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+
+    if radius is not None:
+        return probe(coded, n, radius, *plan(n, bits, radius, unit))
+    radius = calibrated_radius(coded, dims, bits, k, reach=reach)
+    asked, n_asked, done = coded, n, None
+    while True:
+        m, first, each = plan(n, bits, radius, unit)
+        everywhere = any(r >= first for r in each)
+        found = probe(asked, n_asked, bits if everywhere else radius, m, first, each)
+        if everywhere:
+            return found if done is None else done.unionByName(found)
+        found = written(found, "ann_found")
+        settled = found.groupBy("vec_id").agg(F.count("*").alias("n"), F.min("cosine").alias("least"))
+        settled = settled.where((F.col("n") >= k) & (F.col("least") >= settling_cosine(bits, radius, reach))).select(F.col("vec_id").alias("id"))
+        kept = found.join(settled.withColumnRenamed("id", "vec_id"), "vec_id", "left_semi")
+        done = kept if done is None else done.unionByName(kept)
+        asked = written(asked.join(settled, "id", "left_anti").select("id", "v", "code"), "ann_asked")
+        n_asked = asked.count()
+        if not n_asked:
+            return done
+        radius = min(bits, max(radius + 2, 2 * radius))
