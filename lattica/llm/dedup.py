@@ -1,66 +1,46 @@
-"""One document of each group of near duplicates, from similar pairs."""
+"""One document of each group of near duplicates."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
-from .ngram_join import _components
-from .shared import written
+from .shared import fresh, written
 
 SMALL = 500_000
-ROUNDS = 40
 
 
-def _forest(batches):
-    """Of a partition's edges, one from each node to the smallest that they lead to."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-    if not parts:
-        return
-    a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    label = _components(len(nodes), at[: len(a)], at[len(a) :])
-    far = label != np.arange(len(nodes))
-    yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[label[far]])], names=["u", "v"])
+def _comparable(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _comparable(kind.elementType)
+    if isinstance(kind, StructType):
+        return all(_comparable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, MapType | VariantType)
 
 
-def groups(pairs: DataFrame, a_col: str = "doc_a", b_col: str = "doc_b") -> DataFrame:
-    """``member, head``: each document that the pairs lead, over any number of steps, to a smaller one; ``head`` is the smallest.
+def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` but for documents whose ``group_id`` in ``found`` (``doc_id, group_id``) is a smaller id.
 
-    Alternating large and small stars, on what is left of the pairs after each partition has joined its own.
-    Pairs with a null or of one document say nothing; repeated pairs count once.
+    Of rows that are equal in every column one stays, maps and variants being compared by their JSON; a null id is in
+    no group.  Columns, whatever their names, and their order stay.
     """
-    edges = pairs.select(F.greatest(a_col, b_col).cast("bigint").alias("u"), F.least(a_col, b_col).cast("bigint").alias("v")).where(f"{a_col} IS NOT NULL AND {b_col} IS NOT NULL AND u > v")
-    edges = written(edges.mapInArrow(_forest, "u bigint, v bigint").distinct(), "groups")
-    for _ in range(ROUNDS):
-        tangled = edges.groupBy("u").count().where("count > 1").select("u").union(edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("u"))
-        if tangled.isEmpty():
-            return edges.select(F.col("u").alias("member"), F.col("v").alias("head"))
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", "m")).distinct()
-        edges = written(small, "groups")
-    raise RuntimeError("groups did not settle")
-
-
-def keep_one(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` but for documents that the pairs lead to one with a smaller id.
-
-    Of rows that are equal in every column one stays; a null id is in no group.  Columns and their order stay.
-    """
-    gone = written(groups(pairs).select(F.col("member").alias("__gone")), "groups_gone")
+    gone_id, again_id, n_id = fresh(docs.columns, "gone", "again", "n")
+    gone = written(found.where("group_id < doc_id").select(F.col("doc_id").alias(gone_id)).distinct(), "groups_gone")
     n = gone.count()
     # Texts are moved only where the list of documents to drop is too long to be sent to each task.
     gone = F.broadcast(gone) if n <= SMALL else gone.hint("shuffle_hash")
-    kept = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    again = written(docs.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("__again")), "groups_again")
+    kept = docs.join(gone, F.col(id_col) == F.col(gone_id), "left_anti")
+    again = written(docs.groupBy(id_col).agg(F.count("*").alias(n_id)).where(F.col(n_id) > 1).select(F.col(id_col).alias(again_id)), "groups_again")
     n = again.count()
     if not n:
         return kept
     again = F.broadcast(again) if n <= SMALL else again
-    same = F.col(id_col).eqNullSafe(F.col("__again"))
-    return kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").distinct())
+    same = F.col(id_col).eqNullSafe(F.col(again_id))
+    repeated = kept.join(again, same, "left_semi")
+    plain = [f.name for f in docs.schema if _comparable(f.dataType)]
+    rest = [c for c in docs.columns if c not in plain]
+    json = fresh([*docs.columns, gone_id, again_id, n_id], *[f"json{k}" for k in range(len(rest))])
+    entries = lambda c: F.struct(F.sort_array(F.map_entries(c)) if isinstance(docs.schema[c].dataType, MapType) and _comparable(docs.schema[c].dataType.valueType) else F.col(c))
+    repeated = repeated.withColumns({j: F.to_json(entries(c)) for j, c in zip(json, rest, strict=True)}).dropDuplicates([*plain, *json])
+    return kept.join(again, same, "left_anti").unionAll(repeated.select(*docs.columns))

@@ -25,11 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import components, groups
 from .ngrams import _IS_WORD, chunks, mix64, ngram_hashes
 from .shared import release, written
 
 FRAGMENT = 1_000_000
-PAIRS = 500_000
+PAIRS = 100_000
+#: Pairs of postings beyond which a group's overlaps are taken by matrix product, where that is less work.
+DENSE = 50_000
 _LOW48 = np.uint64((1 << 48) - 1)
 _SCATTERED = "part int, chunk bigint, frag int, a binary, b binary, c binary"
 _RETURNED = "chunk bigint, frag int, a binary, b binary, c binary, d binary"
@@ -339,15 +342,37 @@ def _partial(left: pa.Table, right: pa.Table) -> pa.Table:
     if not len(a):
         return pa.table(empty)
     wanted = np.unique(a << 32 | b)
-    group = _components(len(sets), a, b)
+    group = components(len(sets), a, b)
     grams = np.concatenate(packs)
     local = np.repeat(np.searchsorted(sets, held), [len(p) for p in packs]).astype(np.int64)
     order = np.lexsort((local, grams, group[local]))
     grams, local = grams[order], local[order]
     g = group[local]
     new = np.concatenate([[True], (grams[1:] != grams[:-1]) | (g[1:] != g[:-1])])
+    postings = np.cumsum(new) - 1
+    size = np.bincount(postings)
+    shared = size[postings] > 1  # what one set has alone gives no overlap
+    local, g, postings = local[shared], g[shared], postings[shared]
     codes, counts, held_codes = [], [], 0
-    for i, j in _posting_pairs(np.cumsum(new)):
+    sparse = np.ones(len(local), bool)
+    edges = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]])) if len(g) else np.zeros(1, np.int64)
+    pair_group = group[wanted >> 32]
+    for s, e in zip(edges[:-1], edges[1:], strict=True):
+        held_by = size[postings[s:e]]
+        products = int((held_by - 1).sum()) // 2  # pairs of postings of this group
+        if products < DENSE:
+            continue
+        mine = wanted[pair_group == g[s]]
+        rows, row = np.unique(mine >> 32, return_inverse=True)
+        cols, col = np.unique(mine & 0xFFFFFFFF, return_inverse=True)
+        distinct = int(np.count_nonzero(np.diff(postings[s:e]))) + 1
+        if len(rows) * len(cols) * distinct > 1000 * products or len(rows) * len(cols) > 50_000_000:
+            continue
+        sparse[s:e] = False
+        codes.append(mine), counts.append(_products(local[s:e], postings[s:e], rows, cols)[row, col])
+        held_codes += len(mine)
+    local, postings = local[sparse], postings[sparse]
+    for i, j in _posting_pairs(postings):
         c, k = np.unique(local[i] << 32 | local[j], return_counts=True)
         codes.append(c), counts.append(k)
         held_codes += len(c)
@@ -358,32 +383,36 @@ def _partial(left: pa.Table, right: pa.Table) -> pa.Table:
         return pa.table(empty)
     code, count = _sum(codes, counts)
     at = np.searchsorted(wanted, code)
-    ok = wanted[np.minimum(at, len(wanted) - 1)] == code
+    ok = (wanted[np.minimum(at, len(wanted) - 1)] == code) & (count > 0)
     code, count = code[ok], count[ok]
     grams = local = order = g = packs = None
     release()
     return pa.table({"a": sets[code >> 32], "b": sets[code & 0xFFFFFFFF], "overlap": count.astype(np.int64)})
 
 
+def _products(local: np.ndarray, postings: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Common postings of each of ``rows`` with each of ``cols``, by products of 0/1 matrices over some postings at a time."""
+    at = np.cumsum(np.concatenate([[0], np.diff(postings) != 0]))
+    total = np.zeros((len(rows), len(cols)), np.float32)  # exact below 2**24
+    step = max(64, 8_000_000 // (len(rows) + len(cols)))
+    row, col = np.searchsorted(rows, local), np.searchsorted(cols, local)
+    is_row = rows[np.minimum(row, len(rows) - 1)] == local
+    is_col = cols[np.minimum(col, len(cols) - 1)] == local
+    for start in range(0, int(at[-1]) + 1, step):
+        s, e = np.searchsorted(at, [start, start + step])
+        left, right = np.zeros((len(rows), step), np.float32), np.zeros((len(cols), step), np.float32)
+        r, c = is_row[s:e], is_col[s:e]
+        left[row[s:e][r], at[s:e][r] - start] = 1
+        right[col[s:e][c], at[s:e][c] - start] = 1
+        total += left @ right.T
+    return total
+
+
 def _sum(codes, counts):
     c, inverse = np.unique(np.concatenate(codes), return_inverse=True)
     return c, np.bincount(inverse, weights=np.concatenate(counts), minlength=len(c)).astype(np.int64)
 
 
-def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index reachable from each index over the edges (a, b)."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        old = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        np.minimum.at(label, old, label)
-        label = label[label]
-        if np.array_equal(label, old):
-            return label
-
-
 def ngram_sets(docs: DataFrame, n: int, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents that can have a partner: doc_id, sig (of the whole set), n, own, grams (that others have)."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.lower(F.col(text_col)).cast("binary").alias("text")).where("doc_id IS NOT NULL AND length(text) > 0")
@@ -394,22 +423,40 @@ def ngram_sets(docs: DataFrame, n: int, threshold: float, id_col: str = "doc_id"
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, parts: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pairs of documents whose sets of word n-grams have a Jaccard similarity of ``threshold`` or more.
+    """Documents with partners, by the Jaccard similarity of their sets of word n-grams: ``doc_id, class_id, group_id, n_links``.
 
-    Returns ``doc_a < doc_b, jaccard``.  Documents with equal sets form a class, whose smallest id stands for
-    it: the result has one row (smallest, other, 1.0) for each other member, and one row for each pair of
-    classes that are similar, under their smallest ids.  So a class of k copies takes k - 1 rows and the
-    similarity of any two documents can be read off their classes.
+    Documents with equal sets form a class, named by its smallest id.  ``n_links`` is the number of other classes whose
+    similarity with the document's own is ``threshold`` or more; ``group_id`` is the smallest id that links and copies
+    lead to, over any number of steps.  There is one row for each document that has a copy or a link, and none for others,
+    so the rows grow with the documents, however many pairs they make.  ``similar_pairs`` gives the pairs.
 
     A text that is null, empty or without a word has no partners; neither has a row with a null id.  A text of
     fewer than ``n`` words has one n-gram, all its words.  Rows that repeat an id are one document if their
-    sets are equal; if not, each counts and the best similarity is given; no id pairs with itself.  Other columns are not read; an empty table gives no rows.
+    sets are equal; if not, the id has a row for each of its classes.  Other columns are not read; an empty table gives no rows.
     """
+    copies, links = _found(docs, n, threshold, parts, id_col, text_col)
+    copies, links = written(copies, "ngram_copies"), written(links, "ngram_links")
+    degree = links.select(F.col("doc_a").alias("class_id")).unionAll(links.select("doc_b")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    heads = copies.select("doc_a").unionAll(degree.select("class_id")).distinct()
+    rows = copies.select(F.col("doc_b").alias("doc_id"), F.col("doc_a").alias("class_id")).unionAll(heads.select("doc_a", F.col("doc_a").alias("class_id")))
+    group = groups(copies.unionAll(links.select("doc_a", "doc_b"))).select(F.col("member").alias("doc_id"), F.col("head").alias("group_id"))
+    rows = rows.join(degree, "class_id", "left").join(group, "doc_id", "left")
+    return rows.select("doc_id", "class_id", F.coalesce("group_id", "doc_id").alias("group_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
+
+
+def similar_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5, parts: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_a < doc_b, jaccard``: (smallest, other, 1.0) for each further member of a class, and one row for each pair of similar classes, under their smallest ids."""
+    copies, links = _found(docs, n, threshold, parts, id_col, text_col)
+    return copies.withColumn("jaccard", F.lit(1.0)).unionAll(links)
+
+
+def _found(docs: DataFrame, n: int, threshold: float, parts: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Membership of classes (``doc_a`` the smallest id, ``doc_b`` another) and links between classes (``doc_a, doc_b, jaccard``)."""
     if not 0 < threshold <= 1 or n < 1 or parts < 1:
         raise ValueError("threshold must lie in (0, 1], n and parts must be positive")
     sets = ngram_sets(docs, n, threshold, id_col, text_col)
     classes = sets.groupBy("sig", "n").agg(F.min("doc_id").alias("doc_a"), F.count("*").alias("members"))
-    copies = sets.select("sig", "n", F.col("doc_id").alias("doc_b")).join(classes.where("members > 1"), ["sig", "n"]).where("doc_a < doc_b").select("doc_a", "doc_b").distinct().withColumn("jaccard", F.lit(1.0))
+    copies = sets.select("sig", "n", F.col("doc_id").alias("doc_b")).join(classes.where("members > 1"), ["sig", "n"]).where("doc_a < doc_b").select("doc_a", "doc_b").distinct()
 
     heads = sets.join(classes.select(F.col("doc_a").alias("doc_id"), "sig", "n"), ["doc_id", "sig", "n"], "left_semi").dropDuplicates(["doc_id", "sig", "n"])
     size = sets.agg(F.sum(F.length("grams") / 8)).first()[0] or 0
@@ -441,7 +488,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, part
     names = classes.groupBy("sig").agg(F.min("doc_a").alias("doc"))
     similar = similar.join(names.select(F.col("sig").alias("a"), F.col("doc").alias("of_a")), "a").join(names.select(F.col("sig").alias("b"), F.col("doc").alias("of_b")), "b")
     similar = similar.where("of_a != of_b").groupBy(F.least("of_a", "of_b").alias("doc_a"), F.greatest("of_a", "of_b").alias("doc_b")).agg(F.max("jaccard").alias("jaccard"))
-    return copies.union(similar)
+    return copies, similar
 
 
 def _class_weights(batches):
@@ -457,18 +504,21 @@ def oracle_sql(table: str = "documents", n: int = 3, threshold: float = 0.5) ->
     """DuckDB SQL for ngram_jaccard_join, by counting common n-grams of every pair."""
     gram = " || ' ' || ".join(f"w[i + {k}]" for k in range(n))
     return f"""
-WITH words AS (
+WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM {table} WHERE doc_id IS NOT NULL),
 sets AS (
   SELECT doc_id, CASE WHEN len(w) < {n} THEN [array_to_string(w, ' ')]
     ELSE list_sort(list_distinct(list_transform(range(1, len(w) - {n} + 2), lambda i: {gram}))) END AS grams
   FROM words WHERE len(w) > 0),
 classes AS (SELECT grams, min(doc_id) AS head, len(grams) AS n FROM sets GROUP BY grams),
-copies AS (SELECT DISTINCT head AS doc_a, doc_id AS doc_b, 1.0::DOUBLE AS jaccard FROM sets JOIN classes USING (grams) WHERE head < doc_id),
-postings AS (SELECT head, n, unnest(grams) AS gram FROM classes),
+copies AS (SELECT DISTINCT head AS a, doc_id AS b FROM sets JOIN classes USING (grams) WHERE head < doc_id),
+postings AS (SELECT head, n, grams, unnest(grams) AS gram FROM classes),
 counts AS (
-  SELECT a.head AS doc_a, b.head AS doc_b, count(*) AS c, any_value(a.n + b.n) AS total
-  FROM postings a JOIN postings b ON a.gram = b.gram AND a.head < b.head GROUP BY 1, 2)
-SELECT * FROM copies
-UNION ALL
-SELECT doc_a, doc_b, c::DOUBLE / (total - c) AS jaccard FROM counts WHERE c::DOUBLE / (total - c) >= {threshold} - 1e-9"""
+  SELECT a.head AS a, b.head AS b, count(*) AS c, any_value(a.n + b.n) AS total
+  FROM postings a JOIN postings b ON a.gram = b.gram AND a.head < b.head GROUP BY a.head, a.grams, b.head, b.grams),
+links AS (SELECT DISTINCT a, b FROM counts WHERE c::DOUBLE / (total - c) >= {threshold} - 1e-9),
+degree AS (SELECT class_id, count(*) AS n_links FROM (SELECT a AS class_id FROM links UNION ALL SELECT b FROM links) GROUP BY 1),
+edges AS (SELECT a, b FROM copies UNION SELECT a, b FROM links UNION SELECT b, a FROM copies UNION SELECT b, a FROM links),
+reach(node, root) AS (SELECT DISTINCT a, a FROM edges UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.node WHERE r.root < e.b),
+found AS (SELECT b AS doc_id, a AS class_id FROM copies UNION ALL SELECT DISTINCT h, h FROM (SELECT a AS h FROM copies UNION ALL SELECT class_id FROM degree))
+SELECT doc_id, class_id, (SELECT min(root) FROM reach WHERE node = doc_id) AS group_id, coalesce(n_links, 0)::BIGINT AS n_links FROM found LEFT JOIN degree USING (class_id)"""

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_TABLES: list[str] = []
+_CONF: list = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,10 +34,49 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df``, written once as a table in the shared folder and read from there."""
-    path = new_path(df.sparkSession, name)
+    """The rows of ``df``, written once as a table in the shared folder and read from there.
+
+    The table is deleted by ``drop_tables``, or when the driver's Python ends.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    if not _CONF:
+        _CONF.append(spark._jsc.hadoopConfiguration())
+        atexit.register(_at_exit, spark)
+    _TABLES.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def tables() -> list[str]:
+    """The tables that ``written`` made and that still exist, oldest first."""
+    return list(_TABLES)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        if path in _TABLES:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(_CONF[0]).delete(p, True)
+            _TABLES.remove(path)
+
+
+def _at_exit(spark: SparkSession) -> None:
+    try:
+        drop_tables(spark, tables())
+    except Exception:  # noqa: BLE001 - the session may have ended; nothing more can be done then
+        pass
+
+
+def fresh(taken, *names: str) -> list[str]:
+    """``names`` with underscores put before them until none is taken, in any case."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def release() -> None:

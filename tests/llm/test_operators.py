@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from lattica.llm import ann, arc, dedup, langid, mixing, ngram_join, packing, pii, quality, secrets, tokens
+from lattica.llm import ann, arc, components, dedup, langid, mixing, ngram_join, packing, pii, quality, secrets, tokens
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Columns whose names the operators use themselves.
@@ -161,20 +161,47 @@ def brute_pairs(rows, n=3, threshold=0.5):
 
 
 def got_pairs(df, **options):
-    return {(r.doc_a, r.doc_b): round(r.jaccard, 9) for r in ngram_join.ngram_jaccard_join(df, **options).collect()}
+    return {(r.doc_a, r.doc_b): round(r.jaccard, 9) for r in ngram_join.similar_pairs(df, **options).collect()}
+
+
+def brute_classes(rows, n=3, threshold=0.5):
+    """doc_id, class_id, group_id, n_links by the definition, where no id is repeated."""
+    pairs = brute_pairs(rows, n, threshold)
+    same = brute_pairs(rows, n, 1.0)
+    head = {b: a for a, b in same}
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    links = Counter(x for p in set(pairs) - set(same) for x in p)
+    return Counter((x, head.get(x, x), find(x), links[head.get(x, x)]) for x in list(root))
+
+
+def got_classes(df, **options):
+    found = ngram_join.ngram_jaccard_join(df, **options)
+    assert found.columns == ["doc_id", "class_id", "group_id", "n_links"]
+    return Counter(tuple(r) for r in found.collect())
 
 
 def test_ngram_join_awkward(spark):
     df, rows = awkward(spark)
     assert got_pairs(df) == brute_pairs(rows)
+    assert got_classes(df) == {(1, 1, 1, 0): 1, (2, 1, 1, 0): 1, (6, 6, 6, 1): 1, (8, 8, 6, 1): 1} == brute_classes(rows)
     assert ngram_join.ngram_jaccard_join(empty(spark)).count() == 0
 
 
 @pytest.mark.parametrize("threshold,parts,small", [(0.5, 4, False), (0.8, 1, False), (0.4, 3, True)])
 def test_ngram_join_brute(spark, threshold, parts, small, monkeypatch):
     if small:  # many fragments, and groups dealt to several tasks
-        monkeypatch.setattr(ngram_join, "FRAGMENT", 700)
-        monkeypatch.setattr(ngram_join, "PAIRS", 30)
+        monkeypatch.setattr(ngram_join, "FRAGMENT", 3000)
+        monkeypatch.setattr(ngram_join, "PAIRS", 200)
+        monkeypatch.setattr(ngram_join, "DENSE", 1)
     draw = random.Random(3)
     base = [[f"t{draw.randint(0, 60)}" for _ in range(draw.randint(1, 60))] for _ in range(60)]
     rows = []
@@ -183,7 +210,21 @@ def test_ngram_join_brute(spark, threshold, parts, small, monkeypatch):
         for _ in range(draw.choice([0, 0, 1, 2, 6])):
             words[draw.randrange(len(words))] = f"t{draw.randint(0, 60)}"
         rows.append((k, " ".join(words), "en", "a"))
-    assert got_pairs(docs_of(spark, rows), threshold=threshold, parts=parts) == brute_pairs(rows, threshold=threshold)
+    if parts == 1:
+        assert got_pairs(docs_of(spark, rows), threshold=threshold, parts=parts) == brute_pairs(rows, threshold=threshold)
+    assert got_classes(docs_of(spark, rows), threshold=threshold, parts=parts) == brute_classes(rows, threshold=threshold)
+
+
+def test_overlaps_by_matrix_product():
+    draw = np.random.default_rng(5)
+    postings = np.sort(draw.integers(0, 5000, 20_000))
+    local = draw.integers(0, 60, 20_000)
+    both = np.unique(np.stack([postings, local], 1), axis=0)
+    postings, local = both[:, 0], both[:, 1]
+    held = {x: set(postings[local == x]) for x in range(60)}
+    rows, cols = np.array([1, 5, 30]), np.arange(10, 60)
+    got = ngram_join._products(local, postings, rows, cols)
+    assert (got == [[len(held[a] & held[b]) for b in cols] for a in rows]).all()
 
 
 # 4
@@ -404,6 +445,17 @@ def test_ann_pigeonhole_finds_every_code_in_the_radius(spark):
     assert len(got ^ want) <= 0.002 * len(want)  # a sign may fall either way at 0
 
 
+def test_ann_queries_are_the_ids_divisible_by(spark):
+    draw = np.random.default_rng(3)
+    v = np.concatenate([draw.normal(size=(200, 16)), np.repeat(draw.normal(size=(1, 16)), 30, axis=0)]).astype(np.float32)
+    rows = [(k, x.tolist()) for k, x in enumerate(v)] + [(7, x.tolist()) for x in draw.normal(size=(25, 16))]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    whole, some = (ann.nearest_neighbours(df, k=5, every=e, radius=16).collect() for e in (1, 10))
+    assert sorted(map(tuple, some)) == sorted(tuple(r) for r in whole if r.vec_id % 10 == 0)
+    by = Counter(r.vec_id for r in whole)
+    assert set(by.values()) == {5} and len(by) == 230
+
+
 @pytest.mark.parametrize("n,bits,radius,unit", [(10**4, 64, 3, 100), (10**6, 64, 28, 8000), (10**9, 64, 6, 8000), (500, 16, 16, 10), (5, 8, 0, 8000)])
 def test_pigeonhole_cover(n, bits, radius, unit):
     m, first, each = ann.plan(n, bits, radius, unit)
@@ -582,7 +634,7 @@ def test_groups_brute(spark):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     want = {x: find(x) for x in root if find(x) != x}
-    got = dedup.groups(spark.createDataFrame(pairs, "doc_a bigint, doc_b bigint").repartition(5)).collect()
+    got = components.groups(spark.createDataFrame(pairs, "doc_a bigint, doc_b bigint").repartition(5)).collect()
     assert {r.member: r.head for r in got} == want and len(got) == len(want)
 
 
