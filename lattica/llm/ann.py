@@ -7,12 +7,12 @@
    neighbours lie; the radius holds ``reach`` of them.
 4. Index: codes are split into ``m`` substrings, each an index of its own, its buckets gathered by their first bits
    into units.  By pigeonhole, codes within the radius r = m * q + a lie within q in one of the first a + 1
-   substrings or within q - 1 in another, so a row is sent to the units whose first bits lie that near to its own.
+   substrings or within q - 1 in another, so a query is sent to the units whose first bits lie that near to its own.
    m and the number of bits are those that send least; where the radius is wide (directions without structure)
    that is every unit of one index, where it is narrow a few.
-5. Probe: in a unit every code within the radius is retrieved, its vector's exact cosine taken, and the ``k`` best
-   kept; the units' answers are merged.  Where a row is sent to every unit anyway, the radius excludes nothing.
-6. Widen: a row with fewer than ``k`` results, or whose k-th is so far that nearer rows may well lie outside the
+5. Probe: in a unit the codes alone say which rows lie within the radius; only these rows' exact cosines are taken, and
+   the ``k`` best kept; the units' answers are merged.  Where a query is sent to every unit anyway, the radius excludes nothing.
+6. Widen: a query with fewer than ``k`` results, or whose k-th is so far that nearer rows may well lie outside the
    radius, is asked again with a wider one, in the end against all rows.
 """
 
@@ -33,6 +33,8 @@ ROUNDS = 8
 UNIT = 8_000
 PROBES = 256
 REACH = 0.97
+#: Share of a unit within the radius from which cosines are taken by one product of all.
+DENSE = 0.05
 SCHEMA = "vec_id bigint, neighbour bigint, cosine double"
 
 
@@ -190,16 +192,29 @@ def _search(k: int, bits: int, dims: int, radius: int):
         if stored.num_rows and asked.num_rows:
             ids, v, codes = _unpack(stored, dims)
             q_ids, q_v, q_codes = _unpack(asked, dims)
+            most = k * int(np.unique(ids, return_counts=True)[1].max())  # rows of one id count once
             for s in range(0, len(q_ids), 512):
                 e = slice(s, s + 512)
                 for t in range(0, len(ids), 2 * UNIT):
                     f = slice(t, t + 2 * UNIT)
-                    sims = q_v[e] @ v[f].T
-                    sims[np.bitwise_count(q_codes[e, None] ^ codes[None, f]) > radius] = -np.inf
-                    sims[q_ids[e, None] == ids[None, f]] = -np.inf
-                    at, who = np.nonzero(_top(sims, k))
-                    exact = np.einsum("ij,ij->i", q_v[e][at].astype(np.float64), v[f][who].astype(np.float64))
-                    out.append((q_ids[e][at], ids[f][who], exact))
+                    near = q_ids[e, None] != ids[None, f]
+                    if radius < bits:
+                        near &= np.bitwise_count(q_codes[e, None] ^ codes[None, f]) <= radius
+                    if np.count_nonzero(near) > DENSE * near.size:  # a product of all is less work than gathering these
+                        at, who = np.nonzero(_top(np.where(near, q_v[e] @ v[f].T, np.float32(-np.inf)), most))
+                    else:
+                        at, who = np.nonzero(near)
+                    exact = np.empty(len(at))
+                    for g in range(0, len(at), 100_000):
+                        h = slice(g, g + 100_000)
+                        exact[h] = np.einsum("ij,ij->i", q_v[e][at[h]].astype(np.float64), v[f][who[h]].astype(np.float64))
+                    order = np.lexsort((-exact, at))
+                    place = np.arange(len(at)) - np.searchsorted(at[order], at[order])
+                    last = order[place == most - 1]
+                    kth = np.full(len(near), -np.inf)
+                    kth[at[last]] = exact[last]
+                    best = np.flatnonzero(exact >= kth[at] - 1e-9)  # rows as near as the k-th, to the places that count, stay too
+                    out.append((q_ids[e][at[best]], ids[f][who[best]], exact[best]))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"vec_id": columns[0], "neighbour": columns[1], "cosine": columns[2]})
 
@@ -211,19 +226,20 @@ def _unpack(table: pa.Table, dims: int):
     return np.frombuffer(join("ids"), np.int64), np.frombuffer(join("vs"), np.float32).reshape(-1, dims), np.frombuffer(join("codes"), np.uint64)
 
 
-def nearest_neighbours(df: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", reach: float = REACH, radius: int | None = None, unit: int = UNIT) -> DataFrame:
-    """Each row's ``k`` nearest others by cosine: ``vec_id, neighbour, cosine``, ``k`` rows for each row if there are so many others.
+def nearest_neighbours(df: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", reach: float = REACH, radius: int | None = None, unit: int = UNIT, every: int = 1) -> DataFrame:
+    """The ``k`` nearest others by cosine of each query: ``vec_id, neighbour, cosine``, ``k`` rows for each query if there are so many others.
 
-    Exact among the codes within the row's radius, at first the one that holds ``reach`` of the true neighbours of
-    ``PROBES`` rows; exact where that sends rows to every unit.  It widens for a row until ``k`` are found and codes
-    as near as the k-th lie within it with probability ``reach``.  With ``radius`` it is that one for all rows, and
-    rows may have fewer than ``k``.  Of equal cosines (to 9 places) the smaller ids come first.  Rows of one id are never each
+    The queries are the rows whose id is divisible by ``every``, by default all; each is held against all rows.
+    Exact among the codes within the query's radius, at first the one that holds ``reach`` of the true neighbours of
+    ``PROBES`` rows; exact where that sends rows to every unit.  It widens for a query until ``k`` are found and codes
+    as near as the k-th lie within it with probability ``reach``.  With ``radius`` it is that one for all queries, and
+    they may have fewer than ``k``.  Of equal cosines (to 9 places) the smaller ids come first.  Rows of one id are never each
     other's neighbours; repeated rows and rows that share an id count as one row for an id, at its best cosine.  Null ids and vectors
     that are null, empty, zero, not finite or not of the commonest length have no neighbours and are none.  Other
     columns are not read; an empty table gives no rows.
     """
-    if k < 1:
-        raise ValueError("k must be positive")
+    if k < 1 or every < 1:
+        raise ValueError("k and every must be positive")
     rows, dims = unit_vectors(df, id_col, vector_col)
     if not dims:
         return df.sparkSession.createDataFrame([], SCHEMA)
@@ -238,6 +254,8 @@ def nearest_neighbours(df: DataFrame, k: int = 10, id_col: str = "vec_id", vecto
 
     coded = written(rows.mapInArrow(code, "id bigint, v binary, code bigint").distinct(), "ann_codes")
     n = coded.count()
+    queries = coded if every == 1 else written(coded.where(F.pmod("id", F.lit(every)) == 0), "ann_queries")
+    n_queries = n if every == 1 else queries.count()
 
     # A unit's rows are dealt further to ``deal`` parts of its queries, so no task holds more than some thousands of either.
     def spread(rows: DataFrame, asked: bool, m: int, first: int, each: list[int], deal: int):
@@ -273,9 +291,9 @@ def nearest_neighbours(df: DataFrame, k: int = 10, id_col: str = "vec_id", vecto
         return best.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
     if radius is not None:
-        return probe(coded, n, radius, *plan(n, bits, radius, unit))
+        return probe(queries, n_queries, radius, *plan(n, bits, radius, unit))
     radius = calibrated_radius(coded, dims, bits, k, reach=reach)
-    asked, n_asked, done = coded, n, None
+    asked, n_asked, done = queries, n_queries, None
     while True:
         m, first, each = plan(n, bits, radius, unit)
         everywhere = any(r >= first for r in each)

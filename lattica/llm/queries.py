@@ -40,7 +40,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+    """The ten nearest of every vector whose id is divisible by 100, among all vectors."""
+    return ann.nearest_neighbours(_table(spark, sf_dir, "embeddings"), every=100)
 
 
 def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
