@@ -13,7 +13,7 @@ from lattica.llm.ngram_join import ngram_jaccard_join
 from lattica.llm.packing import best_fit_packing
 from lattica.llm.pii import mask_pii
 from lattica.llm.quality import quality_filter
-from lattica.llm.shared import written
+from lattica.llm.shared import drop_tables, tables, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows.  A stage's tables are deleted when the next one's input is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), set(tables())
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline_{name}")
+        drop_tables(spark, [t for t in tables()[:-1] if t not in before])
     return STAGES[-1][1](spark, docs, sf_dir)
