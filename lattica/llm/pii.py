@@ -2,17 +2,19 @@
 
 Two finite-state transducers rewrite a text and remember where each of their output characters comes from:
 ``fold`` turns look-alike letters and foreign digits into ASCII and drops invisible characters; ``spoken`` turns
-spelled digits ("five five five") and written-out signs ("[at]", "(dot)", " at ... dot com") into the characters
-they stand for.  Identifiers are detected in the rewritten text; their spans are then mapped back through both
+spelled digits ("plus four nine", "five five five dash one") and written-out signs ("[at]", "(dot)", "_at_", " at ...
+dot com") into the characters they stand for.  A plain "at" counts only before a top-level domain, and not after words
+that come before the preposition ("look at example.com").  Identifiers are detected in the rewritten text; their spans are then mapped back through both
 edits to the characters of the source.
 """
 
 from __future__ import annotations
 
+import ipaddress
 import re
 import sys
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from .domains import BEFORE_AT, NO_LABEL, TOP_LEVEL
+
 SCHEMA = "doc_id bigint, kind string, start int, end int, source string, value string"
 
 _LOOKALIKE = {
@@ -58,29 +62,26 @@ _DIGITS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 _TIMES = {"double": 2, "triple": 3}
-_SPELLED = r"(?:(?:double|triple)[ -])?(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + ")"
-_SAID = rf"(?:{_SPELLED}|[0-9])"
-#: Four spelled digits at least, among which figures may stand; brackets and a plus sign belong to a spoken number.
-_SPOKEN_RUN = re.compile(rf"(?<!\w){_SAID}(?:[ ]?[,.()/-]?[ ]?{_SAID}(?!\w)){{3,}}(?!\w)", re.I)
-_ONE_SAID = re.compile(rf"(?<!\w)({_SAID})(?!\w)(?:[ ]?,?[ ]?(?={_SAID}(?!\w)))?", re.I)
-_MAY_SPEAK = re.compile(r"(?<!\w)(?:zero|two|three|four|five|seven|eight|nine|zwei|drei|vier|fünf|fuenf|sieben|deux|trois|quatre|cinq|sept|huit|dos|tres|cuatro|cinco|siete|ocho|nueve|sechs|neuf|neun)(?!\w)", re.I)
-
-_AT_WORD, _DOT_WORD = r"(?:at|arroba|arobase|chez|klammeraffe|ät)", r"(?:dot|punkt|punto|point|pt)"
-_OPEN, _CLOSE = r"[ ]?[\[({<][ ]?", r"[ ]?[\])}>][ ]?"
-_BRACKETED = re.compile(rf"(?<=[\w.+%-]){_OPEN}(?:({_AT_WORD}|@)|({_DOT_WORD}|\.)){_CLOSE}(?=\w)", re.I)
-#: Without brackets only words that go together count, before a top-level domain that is no common word.
-_SUFFIX = r"(?:com|org|net|edu|gov|mil|info|biz|io|dev|app|eu|uk|us|ca|au|nz|de|ch|fr|be|es|mx|pt|br|nl|pl|se|dk|ru|cn|jp|kr)"
-
-
-def _written(at: str, dot: str) -> str:
-    more = rf"(?:(?:\.|[ ]{dot}[ ])[\w%+-]+)*"
-    return rf"[\w+%-]+{more}(?:[ ]?@[ ]?|[ ]{at}[ ])[\w-]+{more}[ ]{dot}[ ]{_SUFFIX}(?!\w)"
-
-
-_WRITTEN = re.compile(r"(?<![\w.])(?:" + "|".join([_written("(?:at|ät)", "(?:dot|punkt)"), _written("arroba", "(?:punto|dot)"), _written("arobase", "(?:point|dot)")]) + ")", re.I)
-_WRITTEN_SIGN = re.compile(rf"[ ](?:({_AT_WORD})|({_DOT_WORD}))[ ]|[ ]@[ ]|[ ]@|@[ ]", re.I)
-_SPACED = re.compile(r"(?<=[\w.])[ ]?@[ ](?=(?:[\w-]+\.)+[a-z]{2,24}(?!\w))|(?<=[\w.])[ ]@(?=(?:[\w-]+\.)+[a-z]{2,24}(?!\w))", re.I)
-_MAY_SIGN = re.compile(rf"[\[({{<][ ]?(?:{_AT_WORD}|{_DOT_WORD}|@|\.)[ ]?[\])}}>]|[ _-]{_DOT_WORD}[ _-]|[ ]@|@[ ]", re.I)
+_SPELLED = r"(?:(?:double|triple)[\s-])?(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + ")"
+_SAID = rf"(?:{_SPELLED}|[0-9])(?!\w)"
+_DASH = r"(?:dash|hyphen|minus|strich|bindestrich|tiret|trait|guion|guión|raya)"
+_BETWEEN = rf"\s*+(?:(?:[,.()/-]|{_DASH}(?!\w))\s*+)?"
+#: Four digits at least that stand alone, spelled or as figures; signs may be said between them, and a plus before.
+_SPOKEN_RUN = re.compile(rf"(?<!\w)(?:plus\s++)?{_SAID}(?:{_BETWEEN}{_SAID}){{3,}}+", re.I)
+_ONE_SAID = re.compile(rf"(?<!\w)(?:({_SAID})|(plus)(?!\w)|({_DASH})(?!\w))", re.I)
+
+_AT_WORD, _DOT_WORD = r"(?:at|ät|arroba|arobase|klammeraffe)", r"(?:dot|punkt|punto|point|pt)"
+_OPEN, _CLOSE = r"[\[({<]\s*+", r"\s*+[\])}>]"
+_AT = re.compile(rf"({_OPEN}(?:{_AT_WORD}|chez|@){_CLOSE})|(?<=[^\W_])([_-]){_AT_WORD}\2(?=[^\W_])|(?<!\w)({_AT_WORD})(?!\w)|@", re.I)
+_DOT = re.compile(rf"(\.)(?=[^\W_])|\s*+{_OPEN}(?:{_DOT_WORD}|\.){_CLOSE}\s*+|\s++({_DOT_WORD})\s++|([_-]){_DOT_WORD}\3", re.I)
+#: A part of a domain; DNS allows 63 characters.  A hyphen may belong to a "-dot-" after it.
+_LABEL = re.compile(rf"[^\W_](?:[^\W_]|-(?!{_DOT_WORD}-)){{0,62}}", re.I)
+_ENDING = re.compile(r"[a-z]{2,24}", re.I)
+_ONLY_AT = re.compile(_AT_WORD, re.I)
+#: The same read backwards: the local part, 64 characters at most, stands before its sign.
+_LOCAL = re.compile(r"[\w%+.-]{1,64}")
+_DOT_BACK = re.compile(rf"\s*+[\])}}>]\s*+(?:{'|'.join(w[::-1] for w in _DOT_WORD[3:-1].split('|'))}|\.)\s*+[\[({{<]\s*+|\s++(?:{'|'.join(w[::-1] for w in _DOT_WORD[3:-1].split('|'))})\s++", re.I)
+_LOOK_BACK, _LABELS = 400, 127  # characters of a disguised local part; parts of a domain, by DNS
 
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")
 _IPV4 = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?![0-9]|\.[0-9])")
@@ -88,8 +89,9 @@ _CARD = re.compile(r"(?<![\w.])[2-6][0-9]{3}(?:[ -]?[0-9]){9,15}(?!\w)")
 _SSN = re.compile(r"(?<![\w-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![\w-])")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w)")
 _PHONE = re.compile(
-    r"(?<![\w.])(?:\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,5}\)|[0-9]{1,5})){2,6}|(?:1[ .-])?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|(?:1[ .-])?[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}|00[1-9][0-9]{8,13}|0[1-9](?:[ .-][0-9]{2}){4})(?!\w)"
+    r"(?<![\w.])(?:\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,5}\)|[0-9]{1,5})){2,6}|(?:1[ .-])?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|(?:1[ .-])?[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}|00[1-9][0-9]{8,13}|0[1-9](?:[ .-][0-9]{2}){4}|0[1-9][0-9]{1,4}[ /-][0-9]{3,4}[ -]?[0-9]{3,4})(?!\w)"
 )
+_IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])")
 _DIGIT = re.compile(r"[0-9]")
 
 
@@ -103,9 +105,10 @@ def _ranges(points: list[int]) -> str:
 
 
 #: For RE2, over a whole batch at once: a text without any of this has no identifier.
+_RARE = "(?:un|oh|null)"  # digits that are common words count only where two come together
 _MAY_HOLD = (
-    r"[0-9@]|[ _-](?:dot|punkt|punto|point|pt)[ _-]|[\[({<] ?(?:dot|punkt|punto|point|pt|\.) ?[\])}>]"
-    + r"|(?:^|[^a-z\x{df}-\x{ff}])(?:" + "|".join(sorted(set(_DIGITS) - {"un", "oh", "null"})) + r")(?:[^a-z\x{df}-\x{ff}]|$)"
+    rf"[0-9@]|:[a-f]{{0,4}}:|[\s_-]{_DOT_WORD}[\s_-]|[\[({{<]\s*(?:{_DOT_WORD}|\.)\s*[\])}}>]|(?:^|[^a-z])(?:{_AT_WORD}|chez)[\s_\])}}>-]+[a-z0-9-]+\.[a-z0-9]"
+    + r"|(?:^|[^a-z\x{df}-\x{ff}])(?:" + "|".join(sorted(set(_DIGITS) - {"un", "oh", "null"})) + rf")(?:[^a-z\x{{df}}-\x{{ff}}]|$)|\b{_RARE}\W+(?:{_DASH}\W+)?{_RARE}\b"
 )
 _MAY_FOLD = "[" + _ranges(sorted(ord(c) for c in FOLD)) + "]"
 
@@ -153,23 +156,72 @@ def fold(text: str) -> Edited | None:
     return Edited(text, edits)
 
 
+def _said(text: str, edits: list[tuple[int, int, str]]) -> None:
+    """Spelled digits, with what is said between them."""
+    for run in _SPOKEN_RUN.finditer(text):
+        said = list(_ONE_SAID.finditer(text, run.start(), run.end()))
+        if sum(m[1] is not None and not m[1].isdigit() for m in said) < 2:
+            continue
+        end = None
+        for m in said:
+            if end is not None and not text[end : m.start()].strip(" \t\r\n\f\v,"):
+                if end < m.start():
+                    edits.append((end, m.start(), ""))
+            if m[1] is None:
+                edits.append((m.start(), m.end(), "+" if m[2] else "-"))
+            else:
+                times, _, word = re.sub(r"[\s-]", " ", m[1].lower()).rpartition(" ")
+                edits.append((m.start(), m.end(), _DIGITS.get(word, word) * _TIMES.get(times, 1)))
+            end = m.end()
+
+
+def _signs(text: str, edits: list[tuple[int, int, str]]) -> None:
+    """The signs of addresses: each at-sign, word or bracket is looked at from both sides, by bounded parts."""
+    done = 0
+    for m in _AT.finditer(text):
+        start, end = m.span()
+        if start < done:
+            continue
+        plain_word, joined = m[3] is not None, m[2] is not None
+        if not joined:
+            while start > done and text[start - 1].isspace():
+                start -= 1
+            while end < len(text) and text[end].isspace():
+                end += 1
+        if plain_word and (start == m.start() or end == m.end()):
+            continue
+        back = text[max(done, start - _LOOK_BACK) : start][::-1]
+        local = _LOCAL.match(back)
+        if not local or not (first := _LABEL.match(text, end)) or plain_word and first[0].lower() in NO_LABEL:
+            continue
+        own = [(start, end, "@")] if text[start:end] != "@" else []
+        name = local
+        while (dot := _DOT_BACK.match(back, name.end())) and (more := _LOCAL.match(back, dot.end())):
+            own.append((start - dot.end(), start - dot.start(), "."))
+            name = more
+        if plain_word and name is local and local[0][::-1].lower() in BEFORE_AT:
+            continue
+        at, seps, best = first.end(), [], None
+        while len(seps) < _LABELS and (dot := _DOT.match(text, at)) and (label := _LABEL.match(text, dot.end())):
+            if _ONLY_AT.fullmatch(label[0]) and label[0].lower() != "at":
+                break
+            seps.append((dot.start(), dot.end(), "."))
+            at = label.end()
+            spelled = plain_word or joined or dot[2] is not None or dot[3] is not None
+            if label[0].lower() in TOP_LEVEL if spelled else _ENDING.fullmatch(label[0]):
+                best = (at, len(seps))
+        if not best or best[0] < len(text) and (text[best[0]] in "@_" or plain_word and text[best[0]] == "/"):
+            continue
+        own += [e for e in seps[: best[1]] if text[e[0] : e[1]] != "."]
+        edits += own
+        done = best[0]
+
+
 def spoken(text: str) -> Edited | None:
     """Spelled digits and signs to the characters they stand for; None if there are none."""
     edits: list[tuple[int, int, str]] = []
-    if _MAY_SPEAK.search(text):
-        for run in _SPOKEN_RUN.finditer(text):
-            said = list(_ONE_SAID.finditer(text, run.start(), run.end()))
-            if sum(not m[1].isdigit() for m in said) < 2:
-                continue
-            for m in said:
-                times, _, word = m[1].lower().replace("-", " ").rpartition(" ")
-                edits.append((m.start(), m.end(), _DIGITS.get(word, word) * _TIMES.get(times, 1)))
-    if _MAY_SIGN.search(text):
-        edits += [(m.start(), m.end(), "@" if m[1] else ".") for m in _BRACKETED.finditer(text)]
-        for address in _WRITTEN.finditer(text):
-            for m in _WRITTEN_SIGN.finditer(text, address.start(), address.end()):
-                edits.append((m.start(), m.end(), "@" if m[1] or "@" in m[0] else "."))
-        edits += [(m.start(), m.end(), "@") for m in _SPACED.finditer(text)]
+    _said(text, edits)
+    _signs(text, edits)
     if not edits:
         return None
     edits.sort()
@@ -190,6 +242,15 @@ def _iban(value: str) -> bool:
     return 15 <= len(value) <= 34 and int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
 
 
+def _ipv6(value: str) -> bool:
+    """Three groups at least, so that no scope of a program ("a::b") counts."""
+    try:
+        ipaddress.IPv6Address(value)
+    except ValueError:
+        return False
+    return sum(map(bool, value.split(":"))) >= 3
+
+
 def _card(value: str) -> bool:
     digits = re.sub("[ -]", "", value)
     return 13 <= len(digits) <= 19 and luhn(digits)
@@ -227,6 +288,8 @@ def detect(text: str) -> Iterator[tuple[int, int, str]]:
 
     if "@" in text:
         add(_EMAIL, "email")
+    if ":" in text:
+        add(_IPV6, "ip", _ipv6)
     if _DIGIT.search(text):
         add(_IPV4, "ip")
         add(_IBAN, "iban", _iban)
@@ -250,10 +313,15 @@ def find(text: str | None) -> list[tuple[str, int, int, str, str]]:
     plain = folded.text if folded else text
     said = spoken(plain)
     final = said.text if said else plain
-    spans = list(detect(final)) if "@" in final or _DIGIT.search(final) else []
+    spans = list(detect(final))
     if said:
-        spans += [(m.start(), m.end(), "phone") for m in _TEN.finditer(final) if any(m.start() <= s < m.end() for s in said.starts) and all(m.end() <= s or m.start() >= e for s, e, _ in spans)]
-        spans.sort()
+        spelled = []
+        for m in _TEN.finditer(final):
+            k, n = bisect_left(said.starts, m.start()), bisect_left(spans, (m.start(), 0, ""))
+            free = (n == 0 or spans[n - 1][1] <= m.start()) and (n == len(spans) or spans[n][0] >= m.end())
+            if free and k < len(said.starts) and said.starts[k] < m.end():
+                spelled.append((m.start(), m.end(), "phone"))
+        spans = sorted(spans + spelled)
     out = []
     for start, end, kind in spans:
         value = final[start:end]
