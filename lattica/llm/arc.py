@@ -9,8 +9,10 @@ the WARC fields that ARC doesn't have: record ids (name-based, so a rerun gives
 from __future__ import annotations
 
 import base64
+import datetime
 import hashlib
 import ipaddress
+import math
 import re
 import uuid
 import zlib
@@ -42,20 +44,37 @@ class ArcRecord:
 
 
 def unpacked(content: bytes) -> tuple[bytes, str | None]:
-    """The archive without its gzip members, of which each record may have one; what is wrong with them, if anything."""
+    """The archive without its gzip members, of which each record may have one; what is wrong with them, if anything.
+
+    Of a damaged member what can be read is kept; the next member is sought behind it.
+    """
     if content[:2] != b"\x1f\x8b":
         return content, None
-    parts = []
-    while content:
-        member = zlib.decompressobj(31)
+    parts, at, problem, view = [], 0, None, memoryview(content)
+    while at < len(content):
+        member, start = zlib.decompressobj(31), at
         try:
-            parts.append(member.decompress(content))
+            while at < len(content) and not member.eof:
+                parts.append(member.decompress(view[at : at + 65536]))
+                at += 65536
         except zlib.error:
-            return b"".join(parts), "damaged gzip member"
-        if not member.eof:
-            return b"".join(parts), "cut gzip member"
-        content = member.unused_data.lstrip(b"\x00")
-    return b"".join(parts), None
+            problem = problem or "damaged gzip member"
+        else:
+            if member.eof:
+                at = min(at, len(content)) - len(member.unused_data)
+                while at < len(content) and content[at] == 0:
+                    at += 1
+                if at == len(content) or content[at : at + 2] == b"\x1f\x8b":
+                    continue
+                problem = problem or "damaged gzip member"
+            else:
+                problem = problem or "cut gzip member"
+        found = content.find(b"\x1f\x8b\x08", start + 1 if not member.eof else at)
+        if found < 0:
+            break
+        parts.append(b"\n")  # a record that was cut must not run into the next
+        at = found
+    return b"".join(parts), problem
 
 
 def parse_header(line: bytes, names: tuple[str, ...]) -> dict[str, str] | None:
@@ -123,7 +142,11 @@ def _date(value: str) -> str | None:
     if not re.fullmatch(r"[0-9]{14}", digits) or not 8 <= len(value):
         return None
     year, month, day, hour, minute, second = digits[:4], digits[4:6], digits[6:8], digits[8:10], digits[10:12], digits[12:]
-    if not ("01" <= month <= "12" and "01" <= day <= "31" and hour < "24" and minute < "60" and second <= "60"):
+    try:
+        datetime.date(int(year), int(month), int(day))
+    except ValueError:
+        return None
+    if hour >= "24" or minute >= "60" or second > "60":
         return None
     return f"{year}-{month}-{day}T{hour}:{minute}:{second}Z"
 
@@ -242,32 +265,25 @@ def arc_bytes(name: str, rows, version: int = 1) -> bytes:
 
 
 def archives_of_pages(pages: DataFrame, size: int = 4_000_000) -> DataFrame:
-    """Web pages as ARC archives of about ``size`` bytes, versions 1 and 2 in turn: ``path, content``.
+    """Web pages as ARC archives of about ``size`` bytes, half of them version 1 and half version 2: ``path, content``.
 
-    The archives' names follow from the pages in them.  Pages without a URL or HTML can't be archived.
+    Pages are dealt by hash to archives, in the order of their ids, so the same pages give the same archives however
+    they are partitioned.  Pages without a URL or HTML can't be archived.
     """
-    schema = pa.schema([("path", pa.string()), ("content", pa.binary())])
-
-    def archive(batches):
-        held, names, total, n = [], hashlib.md5(), 0, 0
-
-        def finish():
-            name = f"pages-{names.hexdigest()}.arc"
-            return pa.RecordBatch.from_pydict({"path": [name], "content": [arc_bytes(name, held, 1 + n % 2)]}, schema=schema)
-
-        for batch in batches:
-            for page, url, html in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                body = html.encode()
-                block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body
-                number = (page or 0) % 2**31
-                held.append((url, f"192.0.2.{number % 254 + 1}", f"2001{number // 86400 % 12 + 1:02}{number // 86400 % 28 + 1:02}{number // 3600 % 24:02}{number // 60 % 60:02}{number % 60:02}", "text/html", block))
-                names.update(f"{page} {url}\n".encode())
-                total += len(block)
-                if total >= size:
-                    yield finish()
-                    held, names, total, n = [], hashlib.md5(), 0, n + 1
-        if held:
-            yield finish()
-
-    rows = pages.where("url IS NOT NULL AND html IS NOT NULL").select(F.col("page_id").cast("bigint"), F.regexp_replace("url", r"[\r\n]", "").alias("url"), "html")
-    return rows.mapInArrow(archive, "path string, content binary")
+    rows = pages.where("url IS NOT NULL AND html IS NOT NULL").select(F.col("page_id").cast("bigint").alias("page_id"), F.regexp_replace("url", r"[\r\n]", "").alias("url"), "html")
+    total = rows.agg(F.sum(F.octet_length("html") + F.octet_length("url"))).first()[0] or 0
+    archives = 2 * max(1, math.ceil(total / (2 * size)))
+
+    def archive(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("page_id", "ascending"), ("url", "ascending"), ("html", "ascending")])
+        held, number = [], table.column("archive")[0].as_py()
+        for page, url, html in zip(*(table.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
+            body = html.encode()
+            block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body
+            n = (page or 0) % 2**31
+            held.append((url, f"192.0.2.{n % 254 + 1}", f"2001{n // 86400 % 12 + 1:02}{n // 86400 % 28 + 1:02}{n // 3600 % 24:02}{n // 60 % 60:02}{n % 60:02}", "text/html", block))
+        name = f"pages-{number:06d}-of-{archives:06d}.arc"
+        return pa.table({"path": [name], "content": pa.array([arc_bytes(name, held, 1 + number % 2)], pa.binary())})
+
+    dealt = rows.withColumn("archive", F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(archives)))
+    return dealt.groupBy("archive").applyInArrow(archive, "path string, content binary")

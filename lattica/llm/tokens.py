@@ -2,12 +2,14 @@
 
 Offline, every vocabulary string is put through the pre-tokenizer and the merge rules.  One that comes out as a
 single pre-token and a single token is proven: in a text it counts as one token without merging.  (A vocabulary
-holds strings of which neither need be true.)  Only the other pre-tokens are merged.
+holds strings of which neither need be true.)  Only the other pre-tokens are merged: those that are in the vocabulary
+without being proven by the definition here, as the library would take them whole; the rest by the library's merge.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import os
 import re
 import unicodedata
@@ -16,6 +18,7 @@ from itertools import islice
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokens: contractions, a word, a number or a run of marks with a space before it, white space.
@@ -36,14 +39,24 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """Byte-pair merging by its definition: of all adjacent pairs, the one of lowest rank first."""
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        best, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-        if best == 1 << 60:
-            break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return parts
+    """Byte-pair merging: of all adjacent pairs the one of lowest rank first, the leftmost of equal ones; a heap over a linked list."""
+    parts, n = [piece[i : i + 1] for i in range(len(piece))], len(piece)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(ranks[pair], i, pair) for i in range(n - 1) if (pair := piece[i : i + 2]) in ranks]
+    heapq.heapify(heap)
+    while heap:
+        _, i, pair = heapq.heappop(heap)
+        j = after[i]
+        if not parts[i] or j >= n or parts[i] + parts[j] != pair:
+            continue  # one of the two has been merged meanwhile
+        parts[i], parts[j] = pair, b""
+        after[i] = after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        for k, m in ((before[i], i), (i, after[i])):
+            if k >= 0 and m < n and (pair := parts[k] + parts[m]) in ranks:
+                heapq.heappush(heap, (ranks[pair], k, pair))
+    return [p for p in parts if p]
 
 
 def prove_whole(ranks: dict[bytes, int], pattern: str = PRE_TOKENS) -> frozenset[str]:
@@ -65,12 +78,13 @@ def prove_whole(ranks: dict[bytes, int], pattern: str = PRE_TOKENS) -> frozenset
 class _Pieces(dict):
     """Tokens in each pre-token; what is learned on the way is dropped when it grows large."""
 
-    def __init__(self, whole, encode):
+    def __init__(self, whole, encode, ranks):
         super().__init__(dict.fromkeys(whole, 1))
-        self.whole, self.encode, self.learned = whole, encode, 0
+        self.whole, self.encode, self.ranks, self.learned = whole, encode, ranks, 0
 
     def __missing__(self, piece: str) -> int:
-        n = len(self.encode(piece))
+        data = piece.encode()
+        n = len(merge(data, self.ranks) if data in self.ranks else self.encode(piece))
         if len(piece) <= _LONG_PIECE:
             if self.learned >= _LEARNED:
                 self.clear()
@@ -89,8 +103,9 @@ def _counter(path: str, whole: frozenset[str]):
     import regex
     import tiktoken
 
-    encoding = tiktoken.Encoding("vocabulary", pat_str=PRE_TOKENS, mergeable_ranks=load_ranks(path), special_tokens={})
-    pieces = _Pieces(whole, encoding.encode_ordinary)
+    ranks = load_ranks(path)
+    encoding = tiktoken.Encoding("vocabulary", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
+    pieces = _Pieces(whole, encoding.encode_ordinary, ranks)
     exact, proven, plain = regex.compile(PRE_TOKENS), whole.__contains__, {}
 
     def is_plain(text: str) -> bool:
@@ -120,6 +135,19 @@ def _counter(path: str, whole: frozenset[str]):
     return count
 
 
+def with_tokens(docs: DataFrame, column: str, tokenizer: str = TOKENIZER, text_col: str = "text") -> DataFrame:
+    """``docs`` with the number of each text's tokens, 0 for a null text, as the bigint ``column``."""
+    whole = docs.sparkSession.sparkContext.broadcast(prove_whole(load_ranks(tokenizer)))  # at most the vocabulary
+
+    def count(batches):
+        of = _counter(tokenizer, whole.value)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            yield batch.append_column(column, pa.array([of(t)[0] for t in texts], pa.int64()))
+
+    return docs.mapInArrow(count, StructType([*docs.schema.fields, StructField(column, LongType())]))
+
+
 def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokens of each document: ``doc_id, n_tokens, n_pretokens, n_direct, n_merged``.
 

@@ -65,6 +65,35 @@ def test_token_counts(spark):
     assert tokens.token_counts(empty(spark)).count() == 0
 
 
+def test_strings_that_merging_cannot_reach(spark, tmp_path):
+    import base64
+
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"abcd": 257, b"xyz": 258, b"yz": 259, b"ef": 260, b"efgh": 261, b"gh": 262}
+    path = tmp_path / "ranks"
+    path.write_bytes(b"".join(base64.b64encode(k) + b" %d\n" % v for k, v in ranks.items()))
+    assert not {"abcd"} & tokens.prove_whole(ranks) and {"efgh", "xyz"} <= tokens.prove_whole(ranks)
+    got = tokens.token_counts(docs_of(spark, [(1, "abcd", "en", "a"), (2, "efgh", "en", "a"), (3, "xyzabcd", "en", "a")]), str(path)).orderBy("doc_id").collect()
+    assert [(r.n_tokens, r.n_direct) for r in got] == [(3, 0), (1, 1), (4, 0)]
+
+
+def test_merge_is_the_definition():
+    def slow(piece, ranks):
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        while len(parts) > 1:
+            best, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+            if best == 1 << 60:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    draw = random.Random(3)
+    for _ in range(300):
+        made = [bytes(draw.choices(b"ab", k=draw.randint(2, 5))) for _ in range(8)]
+        ranks = {b"a": 0, b"b": 1} | {m: k + 2 for k, m in enumerate(dict.fromkeys(made))}
+        piece = bytes(draw.choices(b"ab", k=draw.randint(1, 30)))
+        assert tokens.merge(piece, ranks) == slow(piece, ranks)
+
+
 def test_whole_tokens_are_proven():
     ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"bc": 257, b"abc": 258, b"a b": 259}
     whole = tokens.prove_whole(ranks)
@@ -271,6 +300,30 @@ def test_secrets_brute(spark):
     assert len({k[1] for k in want}) >= 6
 
 
+@pytest.mark.parametrize("text,rule,secret", [
+    ("-----BEGIN RSA PRIVATE KEY-----\n" + "MIIabc+/=\n" * 12_000 + "-----END RSA PRIVATE KEY-----", "private_key", "\n" + "MIIabc+/=\n" * 12_000), ('password = "' + "aB3$xY7!" * 700 + '"', "assigned_secret", "aB3$xY7!" * 700),
+    ("x eyJ" + "aA1_" * 3000 + ".eyJ" + "bB2-" * 4000 + "." + "cC3x" * 1000 + " y", "json_web_token", "eyJ" + "aA1_" * 3000 + ".eyJ" + "bB2-" * 4000 + "." + "cC3x" * 1000), ("xoxb-" + "1a2b" * 100, "slack_token", "xoxb-" + "1a2b" * 100),
+    ("ghp_" + "a1B2" * 100, "github_token", "ghp_" + "a1B2" * 100), ("sk_live_" + "a1B2" * 100, "payment_key", "sk_live_" + "a1B2" * 100), ("https://u:" + "p4ss" * 100 + "@example.com", "url_password", "p4ss" * 100),
+])
+def test_long_secrets_are_whole(text, rule, secret):
+    scanner = secrets._Scanner(secrets.RULES)
+    assert [(start, x) for r, start, _, x in scanner("é " + text, {r.key for r in secrets.RULES}) if r.name == rule] == [(2 + text.index(secret), secret)]
+
+
+@pytest.mark.parametrize("unit", ["-----BEGIN RSA PRIVATE KEY-----\n", "eyJaaaaaaaaa.", "token_", "://a:bbb", "a-a-", "xoxb-", "key = "])
+def test_scan_time_grows_with_the_text(unit):
+    import time
+
+    scanner, keys = secrets._Scanner(secrets.RULES), {r.key for r in secrets.RULES}
+
+    def taken(size):
+        began = time.process_time()
+        list(scanner(unit * (size // len(unit)), keys))
+        return time.process_time() - began
+
+    assert taken(400_000) < 10 * taken(100_000) + 0.5
+
+
 # 5
 
 
@@ -544,6 +597,35 @@ def test_arc_damage(version):
     assert list(arc.parse_arc(b"")) == []
 
 
+def test_arc_gzip_resynchronises():
+    import gzip
+
+    data = arc.arc_bytes("n.arc", ARC_ROWS, 1)
+    cuts = [0, *[m.start() + 1 for m in __import__("re").finditer(rb"\n(?=dns:|http://example.org/empty|ftp:)", data)], len(data)]
+    members = [gzip.compress(data[a:b]) for a, b in zip(cuts, cuts[1:])]
+    bad = bytearray(members[1])
+    bad[len(bad) // 2 : len(bad) // 2 + 6] = b"\xff" * 6
+    text, problem = arc.unpacked(members[0] + bytes(bad) + b"".join(members[2:]))
+    assert problem == "damaged gzip member"
+    blocks = [r.block for r in arc.parse_arc(text)]
+    assert ARC_ROWS[0][4] in blocks and ARC_ROWS[2][4] in blocks and ARC_ROWS[3][4] in blocks
+    text, problem = arc.unpacked(b"".join(members) + b"trailing")
+    assert text == data and problem == "damaged gzip member"
+    assert arc.unpacked(b"".join(members)[:-9])[1] == "cut gzip member"
+
+
+@pytest.mark.parametrize("value,date", [("20010231120000", None), ("20000229000000", "2000-02-29T00:00:00Z"), ("20010229000000", None), ("20011301000000", None), ("20010101240000", None), ("2001", None)])
+def test_arc_dates(value, date):
+    assert arc._date(value) == date
+
+
+def test_archives_do_not_depend_on_partitions(spark):
+    pages = spark.range(60).selectExpr("id AS page_id", "concat('http://h/', id) AS url", "repeat('x', 200) AS html")
+    got = [sorted((r.path, bytes(r.content)) for r in arc.archives_of_pages(pages.repartition(n), size).collect()) for n, size in ((1, 5000), (5, 5000))]
+    assert got[0] == got[1] and len(got[0]) == 4
+    assert {r.arc_version for r in arc.convert_arcs(arc.archives_of_pages(pages)).collect()} == {1, 2}
+
+
 def test_pages_to_archives(spark):
     pages = spark.createDataFrame([(1, "http://a/", "<p>é</p>"), (2, None, "x"), (3, "http://b/", None), (None, "http://c/", ""), (1, "http://a/", "<p>é</p>")], "page_id bigint, url string, html string")
     rows = arc.convert_arcs(arc.archives_of_pages(pages)).collect()
