@@ -68,6 +68,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_ngram_jaccard_join": ngram_join.oracle_sql(),
-    "op6_source_mixing": mixing.oracle_sql(),
     "op7_quality_rules": quality.oracle_sql(),
 }

@@ -13,10 +13,12 @@ import heapq
 import os
 import re
 import unicodedata
+from collections.abc import Iterator
 from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -130,22 +132,62 @@ def _counter(path: str, whole: frozenset[str]):
             total, n, direct = total + sum(map(pieces.__getitem__, found)), n + len(found), direct + sum(map(proven, found))
         return total, n, direct
 
+    def sizes(text: str) -> Iterator[tuple[str, int, int]]:
+        """(pre-token, where it begins, its tokens) in order."""
+        for m in (_PLAIN if is_plain(text) else exact).finditer(text):
+            yield m[0], m.start(), pieces[m[0]]
+
+    count.sizes = sizes
     _STATE.clear()
     _STATE[key] = count
     return count
 
 
-def with_tokens(docs: DataFrame, column: str, tokenizer: str = TOKENIZER, text_col: str = "text") -> DataFrame:
-    """``docs`` with the number of each text's tokens, 0 for a null text, as the bigint ``column``."""
-    whole = docs.sparkSession.sparkContext.broadcast(prove_whole(load_ranks(tokenizer)))  # at most the vocabulary
+def proven(spark: SparkSession, tokenizer: str = TOKENIZER) -> Broadcast:
+    """The proven strings, at most the vocabulary, for every task."""
+    return spark.sparkContext.broadcast(prove_whole(load_ranks(tokenizer)))
+
+
+def token_sizes(docs: DataFrame, column: str, tokenizer: str = TOKENIZER, text_col: str = "text") -> DataFrame:
+    """``docs`` with the bigint ``column``, the number of each text's tokens (0 for a null text), in the text's place."""
+    whole, fields = proven(docs.sparkSession, tokenizer), [f for f in docs.schema.fields if f.name != text_col]
 
     def count(batches):
         of = _counter(tokenizer, whole.value)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            yield batch.append_column(column, pa.array([of(t)[0] for t in texts], pa.int64()))
+            at = batch.schema.get_field_index(text_col)
+            sizes = pa.array([of(t)[0] for t in batch.column(at).to_pylist()], pa.int64())
+            yield batch.remove_column(at).append_column(column, sizes)
+
+    return docs.mapInArrow(count, StructType([*fields, StructField(column, LongType())]))
 
-    return docs.mapInArrow(count, StructType([*docs.schema.fields, StructField(column, LongType())]))
+
+def cut_text(text: str, capacity: int, tokenizer: str, whole: frozenset[str]) -> Iterator[tuple[str, int]]:
+    """(part, tokens) of a text cut between pre-tokens into as long parts of at most ``capacity`` tokens as can be.
+
+    The parts' tokens are those of the text, as a cut between pre-tokens changes none.  Only a pre-token of more than
+    ``capacity`` tokens is itself cut, into runs of ``capacity`` / 4 characters, whose tokens may differ.
+    """
+    count = _counter(tokenizer, whole)
+    total = count(text)[0]
+    if total <= capacity:
+        if total:
+            yield text, total
+        return
+    start = held = 0
+    for piece, at, n in count.sizes(text):
+        if held + n > capacity and held:
+            yield text[start:at], held
+            start, held = at, 0
+        if n > capacity:
+            for k in range(at, at + len(piece), max(1, capacity // 4)):
+                run = text[k : min(k + max(1, capacity // 4), at + len(piece))]
+                yield run, count(run)[0]
+            start = at + len(piece)
+        else:
+            held += n
+    if held:
+        yield text[start:], held
 
 
 def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,8 +197,7 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc
     a rank file that every executor can read.  One row for each input row, repeated rows and null ids included; a
     null or empty text has zero of everything.  Other columns are not read, so none can clash.
     """
-    spark = docs.sparkSession
-    whole = spark.sparkContext.broadcast(prove_whole(load_ranks(tokenizer)))  # at most the vocabulary
+    whole = proven(docs.sparkSession, tokenizer)
 
     def count(batches):
         of = _counter(tokenizer, whole.value)

@@ -14,6 +14,8 @@ DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Columns whose names the operators use themselves.
 EXTRA = "copy_no string, blob string, rule string, n_tokens string, bin string, size string, marks string, start string, total string, sig string, gram string, rate string, weight string, key string, id string, p string, host string"
 
+CLASHES = ["__source", "__rate", "__copies", "___rate", "rate", "weight", "n_tokens", "__stratum", "__marks", "__cut_marks", "__rejected", "__id", "__gone", "__again", "__n", "__json0", "n"]
+
 
 def docs_of(spark, rows):
     return spark.createDataFrame([(i, t, lang, src, None if t is None else len(t)) for i, t, lang, src in rows], DOCS)
@@ -144,24 +146,63 @@ def test_best_two_fit(seed):
     assert all(sum(sizes[i] for i in b) <= capacity for b in got)
 
 
-def test_packing_covers_all(spark):
-    df, rows = awkward(spark)
-    got = packing.best_fit_packing(df, capacity=64, shard=10_000).collect()
-    held = Counter()
+def brute_pieces(text, capacity):
+    """(text, tokens) of the parts of a text, by adding pre-tokens while they fit."""
+    import regex
+
+    ranks = tokens.load_ranks(tokens.TOKENIZER)
+    size = lambda x: sum(len(tokens.merge(p.encode(), ranks)) for p in regex.findall(tokens.PRE_TOKENS, x))
+    out, held = [], ""
+    for p in regex.findall(tokens.PRE_TOKENS, text or ""):
+        if size(p) > capacity:
+            out += [held] * bool(held) + [p[k : k + capacity // 4] for k in range(0, len(p), capacity // 4)]
+            held = ""
+        elif held and size(held) + size(p) > capacity:
+            out.append(held)
+            held = p
+        else:
+            held += p
+    return [(x, size(x)) for x in [*out, held] if x]
+
+
+def packed_again(got, capacity):
+    """The sizes in each bin, in order, of each shard; and the same by brute force from the shard's pieces."""
+    shards = {}
     for r in got:
-        held[(r.doc_id, r.start, r.size)] += 1
+        shards.setdefault(r.bin >> 32, []).append(r)
+    for rows in shards.values():
+        rows.sort(key=lambda r: (r.bin, r.slot))
+        bins = {}
+        for r in rows:
+            bins.setdefault(r.bin, []).append((r.doc_id, r.row_id, r.piece, r.size))
+        order = sorted(rows, key=lambda r: (-r.size, r.doc_id is not None, r.doc_id or 0, r.row_id, r.piece))
+        want = brute_two_fit([r.size for r in order], capacity)
+        yield [[x[3] for x in b] for b in bins.values()], [[order[i].size for i in b] for b in want]
+
+
+@pytest.mark.parametrize("shard", [packing.SHARD, 2000])
+def test_packing_brute(spark, shard):
+    df, rows = awkward(spark)
+    rows = [(i, t if t is None or len(t) < 1000 else t[:3000] + "b" * 700 + " é😀 end", lang, src) for i, t, lang, src in rows]
+    rows += [(100 + k, f"some words {k} " * (k % 9), "en", "a") for k in range(60)]
+    got = packing.best_fit_packing(docs_of(spark, rows), capacity=64, shard=shard).collect()
+    held = {}
+    for r in sorted(got, key=lambda r: r.piece):
+        held.setdefault((r.doc_id, r.row_id), []).append(r)
+    assert Counter((i, "".join(r.text for r in x)) for (i, _), x in held.items()) == Counter((i, t) for i, t, *_ in rows if t)
     want = Counter()
     for i, t, *_ in rows:
-        n = len((t or "").split())
-        for s in range(0, n, 64):
-            want[(i, s, min(64, n - s))] += 1
-    assert held == want
-    fill = Counter()
-    for r in got:
-        fill[r.bin] += r.size
-    assert max(fill.values()) <= 64
-    assert all(sorted(x.slot for x in got if x.bin == b) == list(range(sum(x.bin == b for x in got))) for b in list(fill)[:20])
+        at = 0
+        for k, (x, n) in enumerate(brute_pieces(t, 64)):
+            want[(i, k, at, n, x)] += 1
+            at += n
+    assert Counter((r.doc_id, r.piece, r.start, r.size, r.text) for r in got) == want
+    for found, again in packed_again(got, 64):
+        assert found == again and max(map(sum, found)) <= 64
+    assert (len({r.bin >> 32 for r in got}) > 1) == (shard == 2000)
     assert packing.best_fit_packing(empty(spark)).count() == 0
+    clash = docs_of(spark, rows[:3]).selectExpr("*", "1 AS shard", "2 AS bin", "3 AS row_id", "map('a', 1) AS size")
+    assert packing.best_fit_packing(clash).count() == 3
 
 
 # 3
@@ -388,7 +429,10 @@ def test_offsets_map_back():
 
 
 def brute_mix(rows, weights, default, budget):
-    n = lambda t: len((t or "").split())
+    import tiktoken
+
+    encode = tiktoken.Encoding("brute", pat_str=tokens.PRE_TOKENS, mergeable_ranks=tokens.load_ranks(tokens.TOKENIZER), special_tokens={}).encode_ordinary
+    n = lambda t: len(encode(t or ""))
     per = Counter()
     for _, t, _, s in rows:
         per[s] += n(t)
@@ -409,9 +453,11 @@ def test_mixing(spark, weights, default, budget):
     rows = rows + [(50 + k, "some words in here " * (k % 7), "en", "abc"[k % 3]) for k in range(200)]
     from pyspark.sql import functions as F
 
-    df = docs_of(spark, rows).withColumn("copy_no", F.lit("x")).withColumn("rate", F.lit(1)).withColumn("weight", F.lit(1)).withColumn("n_tokens", F.lit(1))
+    df = docs_of(spark, rows).withColumns({c: F.lit(1) for c in CLASHES}).withColumn("copy_no", F.lit("x")).withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
     got = Counter((r.doc_id, r.source, r.copy_no) for r in mixing.mix_sources(df, weights, default, budget).collect())
     assert got == brute_mix(rows, weights, default, budget)
+    row = mixing.mix_sources(df, weights, default, budget).first()
+    assert all(row[c] == 1 for c in CLASHES) and row.m == {"a": 1}
     assert mixing.mix_sources(empty(spark)).count() == 0
 
 
@@ -727,4 +773,20 @@ def test_keep_one(spark):
     got = Counter((r.doc_id, r.text) for r in kept.collect())
     gone = {2, 8}
     assert got == Counter({(i, t) for i, t, *_ in rows if i not in gone})
+    from pyspark.sql import functions as F
+
+    again = docs_of(spark, [rows[0], rows[0], (9, "a", "en", "a"), (9, "a", "en", "a"), (9, "b", "en", "a"), (None, "n", "en", "a")]).withColumns({c: F.lit(1) for c in CLASHES}).withColumn("m", F.create_map(F.lit("a"), F.col("text")))
+    kept = dedup.keep_one(again, spark.createDataFrame([(1, 1)], "doc_id bigint, group_id bigint"))
+    assert kept.columns == again.columns
+    assert Counter((r.doc_id, r.text, r.m["a"]) for r in kept.collect()) == Counter([(1, rows[0][1], rows[0][1]), (9, "a", "a"), (9, "b", "b"), (None, "n", "n")])
     assert dedup.keep_one(empty(spark), ngram_join.ngram_jaccard_join(empty(spark))).count() == 0
+
+
+def test_mixing_by_words_equals_its_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(k, "some words in here " * (k % 7), "en", "abc"[k % 3]) for k in range(200)]
+    df = docs_of(spark, rows)
+    df.write.parquet(str(tmp_path / "d"))
+    got = mixing.mix_sources(df, size=packing.words(df.text)).collect()
+    want = duckdb.sql(mixing.oracle_sql(f"read_parquet('{tmp_path}/d/*.parquet')")).fetchall()
+    assert Counter(tuple(r) for r in got) == Counter(want)
