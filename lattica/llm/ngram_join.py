@@ -510,12 +510,12 @@ sets AS (
   SELECT doc_id, CASE WHEN len(w) < {n} THEN [array_to_string(w, ' ')]
     ELSE list_sort(list_distinct(list_transform(range(1, len(w) - {n} + 2), lambda i: {gram}))) END AS grams
   FROM words WHERE len(w) > 0),
-classes AS (SELECT grams, min(doc_id) AS head, len(grams) AS n FROM sets GROUP BY grams),
+classes AS MATERIALIZED (SELECT row_number() OVER () AS k, grams, min(doc_id) AS head, len(grams) AS n FROM sets GROUP BY grams),
 copies AS (SELECT DISTINCT head AS a, doc_id AS b FROM sets JOIN classes USING (grams) WHERE head < doc_id),
-postings AS (SELECT head, n, grams, unnest(grams) AS gram FROM classes),
+postings AS MATERIALIZED (SELECT k, head, n, hash(gram) AS gram FROM (SELECT k, head, n, unnest(grams) AS gram FROM classes)),
 counts AS (
-  SELECT a.head AS a, b.head AS b, count(*) AS c, any_value(a.n + b.n) AS total
-  FROM postings a JOIN postings b ON a.gram = b.gram AND a.head < b.head GROUP BY a.head, a.grams, b.head, b.grams),
+  SELECT any_value(a.head) AS a, any_value(b.head) AS b, count(*) AS c, any_value(a.n + b.n) AS total
+  FROM postings a JOIN postings b ON a.gram = b.gram AND a.head < b.head GROUP BY a.k, b.k),
 links AS (SELECT DISTINCT a, b FROM counts WHERE c::DOUBLE / (total - c) >= {threshold} - 1e-9),
 degree AS (SELECT class_id, count(*) AS n_links FROM (SELECT a AS class_id FROM links UNION ALL SELECT b FROM links) GROUP BY 1),
 edges AS (SELECT a, b FROM copies UNION SELECT a, b FROM links UNION SELECT b, a FROM copies UNION SELECT b, a FROM links),

@@ -1,52 +1,162 @@
 """Quality rules whose cutoffs carry a bound on false rejections.
 
 Each rule is a whole number measured on a text; a document is rejected where one reaches its stratum's cutoff.
-Labelled good documents are the holdout.  In each stratum and for each rule, cutoffs are tested from the most
-lenient down: the exact binomial p-value of "this cutoff rejects more than alpha of the good documents" must stay
-below delta, divided by the number of sequences tested (Bonferroni); the sequence ends at its first failure
-(fixed-sequence testing, so no further correction within it).  alpha is shared equally among the rules, hence
-with probability 1 - delta no stratum loses more than alpha of its good documents.  Of the certified cutoffs
-the one that separates the labelled documents best is taken; without one, the rule rejects nothing there.
+Labelled good documents are the holdout, of which each distinct text of a stratum counts once, however often it
+comes.  In each stratum and for each rule, cutoffs are tested from the most lenient down: the exact binomial p-value of
+"this cutoff rejects more than alpha of the good documents" must stay below delta, divided by the number of sequences
+tested (Bonferroni); the sequence ends at its first failure (fixed-sequence testing, so no further correction within
+it).  alpha is shared equally among the rules, hence with probability 1 - delta no stratum loses more than alpha of its
+good texts.  Of the certified cutoffs the one that separates the labelled documents best is taken; without one, the
+rule rejects nothing there.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
-from .packing import words
-from .shared import written
+from .ngrams import _BYTE, _powers, chunks, mix64
+from .shared import fresh, written
 
-RULES = ("marks", "shouts", "capitals", "echoes")
+RULES = ("marks", "capitals", "repeats", "strange")
 GRID = (20, 40, 60, 80, 100, 150, 200, 250, 300, 400, 500, 700, 1000, 1500, 2000)
 ALPHA, DELTA = 0.05, 0.05
 #: A good document lost weighs as much as so many bad ones caught, when a certified cutoff is chosen.
 COST = 10
 SMALL = 100_000
-_MARKS = "#$%&*|"
-_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Labelled ids that are sent to each task, so that only labelled texts are measured for the cutoffs.
+LABELS = 500_000
+LONG_WORD, FEW_WORDS, LONG_TEXT = 20, 20, 4_000_000
+_MARKS = "#$%&*|!"
+#: Function words of the languages that are known; a text without any is strange in a stratum whose good texts have them.
+STOP_WORDS = tuple("the and of to a in is that it was for with on der die das und ist nicht ein eine von zu mit le la les de des et un une est dans pour que el los las y en por con no es".split())
+_BLANK = np.isin(np.arange(256), list(b"\t\n\f\r "))
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_IS_MARK, _IS_CAPITAL = np.isin(np.arange(256), list(_MARKS.encode())), (np.arange(256) >= 65) & (np.arange(256) <= 90)
+_IS_LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
+_BEGINS = (np.arange(256) & 0xC0) != 0x80  # bytes that begin a character
 
 
-def rule_values(text: Column) -> dict[str, Column]:
-    """marks, shouts and echoes (a word that equals the one before it) per 1000 words; capitals A-Z per 1000 characters."""
-    text = F.coalesce(text, F.lit(""))
-    n, chars = F.greatest(words(text), F.lit(1)), F.greatest(F.length(text), F.lit(1))
-    # A word before which white space ends and after which it comes again, without cutting the text into words.
-    echo = F.regexp_count(text, F.lit(r"(?<![^\t\n\f\r ])([^\t\n\f\r ]++)(?=[\t\n\f\r ]++\1(?![^\t\n\f\r ]))"))
+def _words(data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each word between white space: start, hash of its lower-case (A-Z) form, characters, whether it has a letter, line feeds before it."""
+    inside = ~_BLANK[data]
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
+    start, end = edge[0::2], edge[1::2]
+    power, inverse = _powers(max(1, len(data)))
 
-    def count(of: str) -> Column:
-        return F.regexp_count(text, F.lit(f"[{of}]"))
+    def sums(x, kind):
+        total = np.zeros(len(data) + 1, kind)
+        np.cumsum(x, dtype=kind, out=total[1:])
+        return total
 
-    per = {"marks": (count(_MARKS), n), "shouts": (count("!"), n), "capitals": (count(_CAPITALS), chars), "echoes": (echo, n)}
-    return {k: F.floor(a * 1000 / b).cast("int") for k, (a, b) in per.items()}
+    hashes = sums(_BYTE[_LOWER[data]] * power[: len(data)], np.uint64)
+    chars, letters, feeds = sums(_BEGINS[data], np.int64), sums(_IS_LETTER[data], np.int64), sums(data == 10, np.int64)
+    return start, mix64((hashes[end] - hashes[start]) * inverse[start]), chars[end] - chars[start], letters[end] > letters[start], feeds[start]
 
 
-def measured(docs: DataFrame, text_col: str = "text", stratum_col: str = "lang", keep=()) -> DataFrame:
-    names = {f"__{k}": v for k, v in rule_values(F.col(text_col)).items()}
-    return docs.select(*keep, F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("__stratum"), *[v.alias(k) for k, v in names.items()])
+_STOPS = np.sort(_words(np.frombuffer(" ".join(STOP_WORDS).encode(), np.uint8))[1])
+
+
+def _repeated(group: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of n groups, its values and how many of them equal an earlier one."""
+    _, first = np.unique(mix64(values + mix64(group.astype(np.uint64))), return_index=True)
+    total = np.bincount(group, minlength=n)
+    return total, total - np.bincount(group[first], minlength=n)
+
+
+def _rules(doc, words, n: int, marks, capitals, chars) -> np.ndarray:
+    """Rule values of n documents, one row each, from their words in order (``doc`` is the document of each)."""
+    _, hashes, length, letter, line = words
+    per = lambda x, of: 1000 * x // np.maximum(of, 1)
+    count = np.bincount(doc, minlength=n)
+    same = np.flatnonzero((doc[1:] == doc[:-1]) & (hashes[1:] == hashes[:-1])) + 1
+    repeats = per(np.bincount(doc[same], minlength=n), count)
+    third = np.flatnonzero(doc[2:] == doc[:-2])
+    a, b = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+    total, again = _repeated(doc[third], mix64(hashes[third] + a) + mix64(hashes[third + 1] + b) * np.uint64(3) + hashes[third + 2] * np.uint64(7), n)
+    repeats = np.maximum(repeats, per(again, total))
+    if len(doc):
+        begins = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])]))
+        place = np.arange(len(doc)) - np.repeat(begins, np.diff(np.append(begins, len(doc))))
+        lines = np.add.reduceat(mix64(hashes + mix64(place.astype(np.uint64) + a)), begins)
+        total, again = _repeated(doc[begins], lines, n)
+        repeats = np.maximum(repeats, per(again, total))
+    of = lambda mask: np.bincount(doc[mask], minlength=n)
+    known = per(of(_STOPS[np.minimum(np.searchsorted(_STOPS, hashes), len(_STOPS) - 1)] == hashes), count)
+    bare = np.where(count >= FEW_WORDS, np.maximum(0, 1000 - 10 * known), 0)
+    strange = np.maximum(bare, np.maximum(per(of(length > LONG_WORD), count), per(of(~letter), count)))
+    return np.stack([per(marks, count), per(capitals, chars), repeats, strange], 1).astype(np.int32)
+
+
+def rule_values(texts: list[bytes | None]) -> np.ndarray:
+    """A row of rule values for each text; all zero for one that is null or empty.
+
+    * ``marks``: the marks # $ % & * | ! per 1000 words (between white space);
+    * ``capitals``: A-Z per 1000 characters;
+    * ``repeats``: the largest of the words that equal the one before, per 1000 words, the lines that equal an earlier
+      one, per 1000 lines with a word, and the three-word runs that equal an earlier one, per 1000 such runs; lines
+      and runs are compared word by word, and A-Z like a-z;
+    * ``strange``: the largest of the words of over 20 characters and the words without a letter, each per 1000 words,
+      and, from 20 words on, 1000 less ten times the function words per 1000 words (0 at least).
+    """
+    out = np.zeros((len(texts), len(RULES)), np.int32)
+    short = ((k, t) for k, t in enumerate(texts) if t and len(t) <= LONG_TEXT)
+    for ids, data, bounds in chunks(short, 1_000_000):
+        words = _words(data)
+        n = len(ids)
+        sums = [np.add.reduceat(mask[data].astype(np.int64), bounds[:-1]) for mask in (_IS_MARK, _IS_CAPITAL, _BEGINS)]
+        out[ids] = _rules(np.searchsorted(bounds, words[0], side="right") - 1, words, n, sums[0], sums[1], sums[2] - 1)  # but for the byte that ends each
+    for k, t in enumerate(texts):
+        if t and len(t) > LONG_TEXT:
+            parts, sums, feeds = [], np.zeros(3, np.int64), 0
+            for part in _parts(t):
+                data = np.frombuffer(part, np.uint8)
+                start, hashes, length, letter, line = _words(data)
+                parts.append((start, hashes, length, letter, line + feeds))
+                feeds += int(np.count_nonzero(data == 10))
+                sums += [np.count_nonzero(mask[data]) for mask in (_IS_MARK, _IS_CAPITAL, _BEGINS)]
+            words = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+            out[k] = _rules(np.zeros(len(words[0]), np.int64), words, 1, *(np.array([x]) for x in sums))[0]
+    return out
+
+
+def _parts(text: bytes):
+    """A long text cut at white space; a word is never cut."""
+    at = 0
+    while at < len(text):
+        end = min(at + LONG_TEXT, len(text))
+        while end < len(text) and not _BLANK[text[end]]:
+            end += 1
+        yield text[at:end]
+        at = end
+
+
+def measured(docs: DataFrame, text_col: str, names: list[str], digest: str | None = None, drop_text: bool = False) -> DataFrame:
+    """``docs`` with the rule values as columns ``names`` and, if asked for, a digest of the text."""
+    fields = [f for f in docs.schema.fields if not drop_text or f.name != text_col]
+    schema = StructType([*fields, *[StructField(x, IntegerType()) for x in names], *([StructField(digest, BinaryType())] if digest else [])])
+
+    def measure(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            texts = batch.column(at).cast(pa.large_binary()).to_pylist()
+            values = rule_values(texts)
+            if drop_text:
+                batch = batch.remove_column(at)
+            for k, name in enumerate(names):
+                batch = batch.append_column(name, pa.array(values[:, k], pa.int32()))
+            if digest:
+                batch = batch.append_column(digest, pa.array([hashlib.blake2b(t or b"", digest_size=16).digest() for t in texts], pa.binary()))
+            yield batch
+
+    return docs.mapInArrow(measure, schema)
 
 
 def tail(k: int, n: int, p: float) -> float:
@@ -69,13 +179,30 @@ def choose_cutoff(good: list[int], bad: list[int], n_good: int, n_bad: int, alph
     return chosen
 
 
+def _narrow(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.col(text_col).alias("text"))
+
+
+def _truth(labels: DataFrame, id_col: str) -> DataFrame:
+    return labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("id")).agg((F.max("quality") >= 1).cast("int").alias("good"))
+
+
 def cutoffs(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """``stratum`` and a cutoff for each rule, null where nothing is certified; from every labelled document."""
-    truth = labels.where(f"{id_col} IS NOT NULL AND quality IS NOT NULL").groupBy(F.col(id_col).cast("bigint").alias("__id")).agg(F.max("quality").alias("__good"))
-    rows = measured(docs, text_col, stratum_col, [F.col(id_col).cast("bigint").alias("__id")]).join(truth, "__id")
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(f"__{k}").alias("value")) for k in RULES]))
+    rows, truth = _narrow(docs, id_col, text_col, stratum_col), written(_truth(labels, id_col), "quality_truth")
+    if truth.count() <= LABELS:  # only labelled texts are measured; else all, as texts aren't shuffled
+        rows = measured(rows.join(F.broadcast(truth), "id"), "text", list(RULES), "digest", True)
+    else:
+        rows = measured(rows, "text", list(RULES), "digest", True).join(truth, "id")
+    return _certified(rows, alpha, delta)
+
+
+def _certified(rows: DataFrame, alpha: float, delta: float) -> DataFrame:
+    """Cutoffs from ``stratum, good, digest`` and the rule values of labelled documents; equal texts of a stratum have one vote, the best."""
+    votes = rows.groupBy("stratum", "digest").agg(F.max("good").alias("good"), *[F.first(k).alias(k) for k in RULES])
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(k).alias("value")) for k in RULES]))
     level = sum((F.col("p.value") >= c).cast("int") for c in GRID)
-    counts = rows.select(F.col("__stratum").alias("stratum"), (F.col("__good") >= 1).cast("int").alias("good"), pairs.alias("p")).groupBy("stratum", "good", F.col("p.rule").alias("rule"), level.alias("level")).agg(F.count("*").alias("n"))
+    counts = votes.select("stratum", "good", pairs.alias("p")).groupBy("stratum", "good", F.col("p.rule").alias("rule"), level.alias("level")).agg(F.count("*").alias("n"))
     counts = written(counts, "quality_counts")  # a few rows, used twice
     strata = counts.agg(F.countDistinct("stratum").alias("strata"))
 
@@ -88,55 +215,63 @@ def cutoffs(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: flo
             out[rule] = choose_cutoff(reach[1], reach[0], total[1], total[0], alpha / len(RULES), delta / (len(RULES) * int(pdf.strata.iloc[0])))
         return pd.DataFrame({"stratum": [pdf.stratum.iloc[0]], **{k: pd.array([v], dtype="Int32") for k, v in out.items()}})
 
-    return counts.crossJoin(strata).groupBy("stratum").applyInPandas(certify, "stratum string, " + ", ".join(f"{k} int" for k in RULES))
+    return counts.crossJoin(F.broadcast(strata)).groupBy("stratum").applyInPandas(certify, "stratum string, " + ", ".join(f"{k} int" for k in RULES))
 
 
-def _judged(docs: DataFrame, labels: DataFrame, keep: list, **options) -> DataFrame:
-    """``keep`` columns, the rule values as ``__<rule>``, and ``__rejected``."""
-    spark, at = docs.sparkSession, {k: v for k, v in options.items() if k in ("text_col", "stratum_col")}
-    schema = "__stratum string, " + ", ".join(f"__cut_{k} int" for k in RULES)
-    found = cutoffs(docs, labels, **options)
-    rows = found.limit(SMALL + 1).collect()  # one small row a stratum: the texts must not be shuffled to meet it
-    cuts = F.broadcast(spark.createDataFrame([tuple(r) for r in rows], schema)) if len(rows) <= SMALL else found.toDF(*(x.split()[0] for x in schema.split(", ")))
+def _kept(rows: DataFrame, cuts: DataFrame, stratum: str, values: list[str]) -> DataFrame:
+    """The rows whose values reach no cutoff of their stratum."""
+    names = fresh(rows.columns, "cut_stratum", *[f"cut_{k}" for k in RULES])
+    cuts = written(cuts.toDF(*names), "quality_cuts")  # one small row a stratum: the texts are not shuffled to meet it
+    cuts = F.broadcast(cuts) if cuts.count() <= SMALL else cuts
     rejected = F.lit(False)
-    for k in RULES:
-        rejected = rejected | F.coalesce(F.col(f"__{k}") >= F.col(f"__cut_{k}"), F.lit(False))
-    return measured(docs, keep=keep, **at).join(cuts, "__stratum", "left").withColumn("__rejected", rejected)
+    for value, cut in zip(values, names[1:], strict=True):
+        rejected = rejected | F.coalesce(F.col(value) >= F.col(cut), F.lit(False))
+    return rows.join(cuts, F.col(stratum) == F.col(names[0]), "left").where(~rejected)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that the rules keep: ``doc_id, stratum`` and the value of each rule.  See quality_filter."""
-    judged = _judged(docs, labels, [F.col(id_col).alias("__id")], id_col=id_col, **options)
-    return judged.where("NOT __rejected").select(F.col("__id").alias("doc_id"), F.col("__stratum").alias("stratum"), *[F.col(f"__{k}").alias(k) for k in RULES])
+def quality_scores(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+    """The documents that the rules keep: ``doc_id, stratum`` and the value of each rule.  Each text is measured once.  See quality_filter."""
+    rows = written(measured(_narrow(docs, id_col, text_col, stratum_col), "text", list(RULES), "digest", True), "quality_measured")
+    cuts = _certified(rows.join(_truth(labels, id_col), "id"), alpha, delta)
+    return _kept(rows, cuts, "stratum", list(RULES)).select(F.col("id").alias("doc_id"), "stratum", *RULES)
 
 
-def quality_filter(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def quality_filter(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that no certified rule rejects, with their own columns.
 
-    ``labels`` has the id and ``quality`` (1 good, 0 bad); of several labels of one document the best counts, null
-    labels and labels of unknown documents are ignored.  A stratum without enough labelled documents to certify a
-    cutoff loses nothing; so do empty labels.  A null stratum counts as the empty string.  A null or empty text
-    has zero of everything and is kept.  Repeated rows and null ids are judged like others; other columns pass
-    through, whatever their names, except names that begin with two underscores.  An empty table gives no rows.
+    ``labels`` has the id and ``quality`` (1 good, 0 bad); of several labels of one document, and of equal texts of a
+    stratum, the best counts; null labels and labels of unknown documents are ignored.  A stratum without enough
+    labelled texts to certify a cutoff loses nothing; so do empty labels.  A null stratum counts as the empty string.
+    A null or empty text has zero of everything and is kept.  Repeated rows and null ids are judged like others; other
+    columns pass through, whatever their names.  An empty table gives no rows.
     """
-    return _judged(docs, labels, [F.col(c) for c in docs.columns], **options).where("NOT __rejected").select(*docs.columns)
+    cuts = cutoffs(docs, labels, alpha, delta, id_col, text_col, stratum_col)
+    stratum, *names = fresh(docs.columns, "stratum", *RULES)
+    rows = measured(docs, text_col, names).withColumn(stratum, F.coalesce(F.col(stratum_col).cast("string"), F.lit("")))
+    return _kept(rows, cuts, stratum, names).select(*docs.columns)
 
 
-def oracle_sql(documents: str = "documents", labels: str = "labels", columns: str = "doc_id, stratum, marks, shouts, capitals, echoes", alpha: float = ALPHA, delta: float = DELTA) -> str:
+def oracle_sql(documents: str = "documents", labels: str = "labels", columns: str = "doc_id, stratum, marks, capitals, repeats, strange", alpha: float = ALPHA, delta: float = DELTA) -> str:
     """DuckDB SQL for quality_scores (or, with other ``columns`` of documents, for quality_filter)."""
     rules, a = ", ".join(RULES), alpha / len(RULES)
     return f"""
 WITH split AS MATERIALIZED (
-  SELECT *, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, string_split_regex(coalesce(text, ''), '[\\t\\n\\f\\r ]+') AS w,
-    greatest(len(regexp_extract_all(coalesce(text, ''), '[^\\t\\n\\f\\r ]+')), 1) AS n FROM {documents}),
+  SELECT *, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM {documents}),
+cut AS MATERIALIZED (
+  SELECT *, regexp_extract_all(low, '[^\\t\\n\\f\\r ]+') AS w,
+    list_filter(list_transform(string_split(low, chr(10)), lambda l: trim(regexp_replace(l, '[\\t\\f\\r ]+', ' ', 'g'))), lambda l: l <> '') AS l FROM split),
+counted AS MATERIALIZED (
+  SELECT * EXCLUDE (low), greatest(len(w), 1) AS n, list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS g FROM cut),
 measured AS MATERIALIZED (
-  SELECT * EXCLUDE (t, w, n),
+  SELECT * EXCLUDE (w, l, g, n),
     (1000 * (length(t) - length(translate(t, '{_MARKS}', ''))) // n)::INT AS marks,
-    (1000 * (length(t) - length(replace(t, '!', ''))) // n)::INT AS shouts,
-    (1000 * (length(t) - length(translate(t, '{_CAPITALS}', ''))) // greatest(length(t), 1))::INT AS capitals,
-    (1000 * len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1] AND w[i] <> '')) // n)::INT AS echoes FROM split),
+    (1000 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) // greatest(length(t), 1))::INT AS capitals,
+    greatest(1000 * len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) // n, 1000 * (len(l) - len(list_distinct(l))) // greatest(len(l), 1), 1000 * (len(g) - len(list_distinct(g))) // greatest(len(g), 1))::INT AS repeats,
+    greatest(1000 * len(list_filter(w, lambda x: length(x) > {LONG_WORD})) // n, 1000 * len(list_filter(w, lambda x: NOT regexp_matches(x, '[a-z\\x{{80}}-\\x{{10FFFF}}]'))) // n,
+      CASE WHEN len(w) >= {FEW_WORDS} THEN 1000 - 10 * (1000 * len(list_filter(w, lambda x: x IN {STOP_WORDS})) // n) ELSE 0 END, 0)::INT AS strange FROM counted),
 truth AS (SELECT doc_id, max(quality) >= 1 AS good FROM {labels} WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
-held AS (UNPIVOT (SELECT stratum, good, {rules} FROM measured JOIN truth USING (doc_id)) ON {rules} INTO NAME rule VALUE value),
+votes AS (SELECT stratum, max(good) AS good, {", ".join(f"any_value({r}) AS {r}" for r in RULES)} FROM measured JOIN truth USING (doc_id) GROUP BY stratum, t),
+held AS (UNPIVOT (SELECT stratum, good, {rules} FROM votes) ON {rules} INTO NAME rule VALUE value),
 grid AS (SELECT unnest({list(GRID)}) AS cutoff),
 reach AS (
   SELECT stratum, rule, cutoff, count(*) FILTER (good) AS n_good, count(*) FILTER (NOT good) AS n_bad,

@@ -150,18 +150,24 @@ def brute_pieces(text, capacity):
     """(text, tokens) of the parts of a text, by adding pre-tokens while they fit."""
     import regex
 
-    ranks = tokens.load_ranks(tokens.TOKENIZER)
-    size = lambda x: sum(len(tokens.merge(p.encode(), ranks)) for p in regex.findall(tokens.PRE_TOKENS, x))
-    out, held = [], ""
+    ranks, known = tokens.load_ranks(tokens.TOKENIZER), {}
+
+    def size(x):
+        for p in (pre := regex.findall(tokens.PRE_TOKENS, x)):
+            if p not in known:
+                known[p] = len(tokens.merge(p.encode(), ranks))
+        return sum(known[p] for p in pre)
+
+    out, held, n = [], "", 0
     for p in regex.findall(tokens.PRE_TOKENS, text or ""):
         if size(p) > capacity:
             out += [held] * bool(held) + [p[k : k + capacity // 4] for k in range(0, len(p), capacity // 4)]
-            held = ""
-        elif held and size(held) + size(p) > capacity:
+            held, n = "", 0
+        elif held and n + size(p) > capacity:
             out.append(held)
-            held = p
+            held, n = p, size(p)
         else:
-            held += p
+            held, n = held + p, n + size(p)
     return [(x, size(x)) for x in [*out, held] if x]
 
 
@@ -493,13 +499,59 @@ def test_binomial_tail():
     assert quality.choose_cutoff([0] * 15, [5] * 15, 10, 10, 0.05, 0.05) is None  # ten documents certify nothing
 
 
+def brute_values(text):
+    """The rules by their definition, in the order of RULES."""
+    import re
+
+    text = text or ""
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+    w = re.findall(r"[^\t\n\f\r ]+", low)
+    lines = [tuple(x) for x in (re.findall(r"[^\t\f\r ]+", y) for y in low.split("\n")) if x]
+    grams = list(zip(w, w[1:], w[2:], strict=False))
+    per = lambda x, of: 1000 * x // max(of, 1)
+    repeats = max(per(sum(x == y for x, y in zip(w, w[1:], strict=False)), len(w)), per(len(lines) - len(set(lines)), len(lines)), per(len(grams) - len(set(grams)), len(grams)))
+    bare = max(0, 1000 - 10 * per(sum(x in quality.STOP_WORDS for x in w), len(w))) if len(w) >= 20 else 0
+    strange = max(bare, per(sum(len(x) > 20 for x in w), len(w)), per(sum(not re.search("[a-z\x80-\U0010ffff]", x) for x in w), len(w)))
+    return per(sum(c in "#$%&*|!" for c in text), len(w)), per(sum("A" <= c <= "Z" for c in text), len(text)), repeats, strange
+
+
+def test_rule_values_brute(monkeypatch):
+    draw = random.Random(4)
+    pieces = ["the ", "The\n", "é—x ", "A#! ", "a a a ", "\n\n", "\t", "word " * 3, "x" * 25 + " ", "12 ", "una línea\n", "\r\n", "\f", "\xa0", "🙂 "]
+    texts = ["".join(draw.choices(pieces, k=draw.randint(0, 60))) for _ in range(300)] + [None, "", " ", "\n", "x", "The the", "a b c a b c"]
+    want = [brute_values(t) for t in texts]
+    data = [None if t is None else t.encode() for t in texts]
+    assert [tuple(map(int, r)) for r in quality.rule_values(data)] == want
+    monkeypatch.setattr(quality, "LONG_TEXT", 40)  # texts longer than this are taken in parts
+    assert [tuple(map(int, r)) for r in quality.rule_values(data)] == want
+
+
 def test_quality_awkward(spark):
+    from pyspark.sql import functions as F
+
     df, rows = awkward(spark)
+    df = df.withColumns({c: F.lit(1) for c in CLASHES if c not in df.columns}).withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
     out = quality.quality_filter(df, labels)
     assert out.columns == df.columns and out.count() == len(rows)  # too few labels to reject anything
     assert quality.quality_filter(df, labels.limit(0)).count() == len(rows)
     assert quality.quality_filter(empty(spark), labels).count() == 0
+    got = Counter((r.doc_id, r.marks, r.capitals, r.repeats, r.strange) for r in quality.quality_scores(df, labels).collect())
+    assert got == Counter((i, *brute_values(t)) for i, t, *_ in rows)
+
+
+@pytest.mark.parametrize("labels_sent", [quality.LABELS, 0])
+def test_repeated_texts_have_one_vote(spark, labels_sent, monkeypatch):
+    monkeypatch.setattr(quality, "LABELS", labels_sent)
+    good = [(k, f"the text number {k} of the good ones", "en", "a") for k in range(100)]
+    bad = [(1000 + k, f"w{k}## " * 8, "en", "a") for k in range(50)]
+    labels = [(i, 1, 0) for i, *_ in good] + [(i, 0, 0) for i, *_ in bad]
+    again = good * 10 + [(5000 + 100 * k + i, t, lang, s) for k in range(10) for i, t, lang, s in good] + bad
+    labels += [(5000 + 100 * k + i, 1, 0) for k in range(10) for i, *_ in good] + labels
+    table = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    assert [tuple(r) for r in quality.cutoffs(docs_of(spark, good + bad), table).collect()] == [("en", None, None, None, None)]
+    assert [tuple(r) for r in quality.cutoffs(docs_of(spark, again), table).collect()] == [("en", None, None, None, None)]
+    assert quality.quality_filter(docs_of(spark, again), table).count() == len(again)
 
 
 # 8

@@ -5,9 +5,9 @@ from collections import Counter
 import corpus_pipeline
 import pytest
 
-from tests.llm.test_operators import brute_mix, brute_pairs, brute_two_fit, docs_of
+from tests.llm.test_operators import brute_mix, brute_pairs, brute_pieces, brute_values, docs_of, packed_again
 
-from lattica.llm import packing, pii, quality
+from lattica.llm import packing, pii, quality, shared
 
 
 def tables(spark, tmp_path, rows, labels):
@@ -36,14 +36,7 @@ def made():
 
 
 def brute(rows, labels):
-    import re
-
-    def values(t):
-        t = t or ""
-        n, w = max(len(t.split()), 1), re.split(r"[\t\n\f\r ]+", t)
-        count = lambda of: sum(c in of for c in t)
-        return {"marks": 1000 * count("#$%&*|") // n, "shouts": 1000 * t.count("!") // n, "capitals": 1000 * sum("A" <= c <= "Z" for c in t) // max(len(t), 1), "echoes": 1000 * sum(a == b != "" for a, b in zip(w, w[1:], strict=False)) // n}
-
+    values = lambda t: dict(zip(quality.RULES, brute_values(t), strict=True))
     truth = {i: q for i, q, _ in labels}
     measured = [(r, values(r[1])) for r in rows]
     held = [(r[2] or "", truth[r[0]], v) for r, v in measured if r[0] in truth]
@@ -51,7 +44,7 @@ def brute(rows, labels):
     cuts = {}
     for s in strata:
         for rule in quality.RULES:
-            good = [v[rule] for t, q, v in held if t == s and q]
+            good = [v[rule] for t, q, v in held if t == s and q]  # texts are distinct here
             bad = [v[rule] for t, q, v in held if t == s and not q]
             reach = lambda of: [sum(x >= g for x in of) for g in quality.GRID]  # noqa: E731, B023
             cuts[s, rule] = quality.choose_cutoff(reach(good), reach(bad), len(good), len(bad), quality.ALPHA / 4, quality.DELTA / (4 * len(strata)))
@@ -77,24 +70,25 @@ def brute(rows, labels):
     assert sum(a != b for a, b in zip(single, masked, strict=True)) == 1
     text = Counter({(r[0], r[1], r[3]): 1 for r in masked})
     assert len(text) == len(masked)
-    words = {(i, s): len((t or "").split()) for i, t, _, s in masked}
-    return sorted(((i, words[i, s]) for (i, s, _), k in brute_mix(masked, {}, 1.0, 1.0).items() for _ in range(k) if words[i, s]), key=repr)
+    of = {(i, s): t for i, t, _, s in masked}
+    return Counter((i, of[i, s]) for (i, s, _), k in brute_mix(masked, {}, 1.0, 1.0).items() for _ in range(k) if of[i, s])
 
 
 def test_pipeline(spark, tmp_path):
     rows, labels = made()
     sf = tables(spark, tmp_path, rows, labels)
     want = brute(rows, labels)
+    before = shared.tables()
     got = corpus_pipeline.run(spark, sf).collect()
-    assert sum(r.size for r in got) == sum(n for _, n in want)
-    starts = Counter((r.doc_id) for r in got if r.start == 0)
-    assert starts == Counter(i for i, _ in want)
-    sizes = sorted((r.size for r in got), reverse=True)
-    assert len({r.bin for r in got}) == len(brute_two_fit(sizes, packing.CAPACITY))
-    fill = Counter()
-    for r in got:
-        fill[r.bin] += r.size
-    assert max(fill.values()) <= packing.CAPACITY
+    documents = {}
+    for r in sorted(got, key=lambda r: r.piece):
+        documents.setdefault((r.doc_id, r.row_id), []).append(r)
+    assert Counter((i, "".join(r.text for r in x)) for (i, _), x in documents.items()) == want
+    sizes = {t: [(x, n) for x, n in brute_pieces(t, packing.CAPACITY)] for _, t in want if len(t) < 400}
+    assert all([(r.text, r.size) for r in x] == sizes[t] for x in documents.values() if (t := "".join(r.text for r in x)) in sizes)
+    for found, again in packed_again(got, packing.CAPACITY):
+        assert found == again and max(map(sum, found)) <= packing.CAPACITY
+    assert len(set(shared.tables()) - set(before)) < 3  # the last stage's input, and what the last stage wrote
 
 
 def test_stages_keep_the_columns(spark, tmp_path):
