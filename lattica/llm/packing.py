@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import release
 from .tokens import TOKENIZER, cut_text, proven
 
 CAPACITY = 2048
@@ -112,6 +113,7 @@ def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str =
                 row += 1
             if out:
                 yield _batch(out, types)
+        release()
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by([("size", "descending"), ("doc_id", "ascending"), ("row_id", "ascending"), ("piece", "ascending")])
@@ -121,7 +123,10 @@ def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str =
         out = table.set_column(table.schema.get_field_index("text"), "text", table.column("text").cast(pa.large_string())).take(order).select(["doc_id", "row_id", "piece", "start", "size", "text"])
         out = out.add_column(0, "bin", pa.array([first + k for k, held in enumerate(bins) for _ in held], pa.int64()))
         out = out.add_column(1, "slot", pa.array([k for held in bins for k in range(len(held))], pa.int32()))
-        return out.set_column(out.schema.get_field_index("text"), "text", out.column("text").cast(pa.string()))
+        out = out.set_column(out.schema.get_field_index("text"), "text", out.column("text").cast(pa.string()))
+        table = None
+        release()
+        return out
 
     pieces = texts.mapInArrow(cut, "shard int, doc_id bigint, row_id bigint, piece bigint, start bigint, size bigint, text string")
     return pieces.groupBy("shard").applyInArrow(pack, SCHEMA)

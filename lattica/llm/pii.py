@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .domains import BEFORE_AT, NO_LABEL, TOP_LEVEL
+from .shared import release
 
 SCHEMA = "doc_id bigint, kind string, start int, end int, source string, value string"
 
@@ -387,6 +388,7 @@ def mask_pii(docs: DataFrame, text_col: str = "text", length_col: str | None = "
             if any(a is not b for a, b in zip(old, new, strict=True)):
                 texts = pc.replace_with_mask(texts, changed, pa.array([b for a, b in zip(old, new, strict=True) if a is not b], texts.type))
             yield batch.set_column(at, batch.schema.field(at), texts).append_column(flag, changed)
+        release()
 
     rows = docs.mapInArrow(masked, schema)
     if length_col in docs.columns:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from .ngrams import _BYTE, _powers, chunks, mix64
-from .shared import fresh, written
+from .shared import fresh, release, written
 
 RULES = ("marks", "capitals", "repeats", "strange")
 GRID = (20, 40, 60, 80, 100, 150, 200, 250, 300, 400, 500, 700, 1000, 1500, 2000)
@@ -33,7 +33,7 @@ COST = 10
 SMALL = 100_000
 #: Labelled ids that are sent to each task, so that only labelled texts are measured for the cutoffs.
 LABELS = 500_000
-LONG_WORD, FEW_WORDS, LONG_TEXT = 20, 20, 4_000_000
+LONG_WORD, FEW_WORDS, LONG_TEXT = 20, 20, 1_000_000
 _MARKS = "#$%&*|!"
 #: Function words of the languages that are known; a text without any is strange in a stratum whose good texts have them.
 STOP_WORDS = tuple("the and of to a in is that it was for with on der die das und ist nicht ein eine von zu mit le la les de des et un une est dans pour que el los las y en por con no es".split())
@@ -155,6 +155,7 @@ def measured(docs: DataFrame, text_col: str, names: list[str], digest: str | Non
             if digest:
                 batch = batch.append_column(digest, pa.array([hashlib.blake2b(t or b"", digest_size=16).digest() for t in texts], pa.binary()))
             yield batch
+        release()
 
     return docs.mapInArrow(measure, schema)
 

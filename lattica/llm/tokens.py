@@ -16,18 +16,21 @@ import unicodedata
 from collections.abc import Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from .shared import release
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokens: contractions, a word, a number or a run of marks with a space before it, white space.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same where a text's only numeric characters are decimal digits.
 _PLAIN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_LEARNED = 500_000
+_LEARNED = 100_000
 _LONG_PIECE = 64
 _LONG_TEXT = 4_000_000
 _STATE: dict = {}
@@ -132,12 +135,21 @@ def _counter(path: str, whole: frozenset[str]):
             total, n, direct = total + sum(map(pieces.__getitem__, found)), n + len(found), direct + sum(map(proven, found))
         return total, n, direct
 
-    def sizes(text: str) -> Iterator[tuple[str, int, int]]:
-        """(pre-token, where it begins, its tokens) in order."""
+    def sizes(text: str) -> Iterator[tuple[str, int]]:
+        """(pre-token, its tokens) in order, without holding them all."""
         for m in (_PLAIN if is_plain(text) else exact).finditer(text):
-            yield m[0], m.start(), pieces[m[0]]
+            yield m[0], pieces[m[0]]
+
+    def split(text: str) -> tuple[list[str], list[int]]:
+        found = (_PLAIN if is_plain(text) else exact).findall(text)
+        return found, list(map(pieces.__getitem__, found))
 
-    count.sizes = sizes
+    def total(text: str | None) -> int:
+        if not text:
+            return 0
+        return sum(split(text)[1]) if len(text) <= _LONG_TEXT else sum(n for _, n in sizes(text))
+
+    count.sizes, count.split, count.total = sizes, split, total
     _STATE.clear()
     _STATE[key] = count
     return count
@@ -156,8 +168,9 @@ def token_sizes(docs: DataFrame, column: str, tokenizer: str = TOKENIZER, text_c
         of = _counter(tokenizer, whole.value)
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            sizes = pa.array([of(t)[0] for t in batch.column(at).to_pylist()], pa.int64())
+            sizes = pa.array([of.total(t) for t in batch.column(at).to_pylist()], pa.int64())
             yield batch.remove_column(at).append_column(column, sizes)
+        release()
 
     return docs.mapInArrow(count, StructType([*fields, StructField(column, LongType())]))
 
@@ -169,25 +182,39 @@ def cut_text(text: str, capacity: int, tokenizer: str, whole: frozenset[str]) ->
     ``capacity`` tokens is itself cut, into runs of ``capacity`` / 4 characters, whose tokens may differ.
     """
     count = _counter(tokenizer, whole)
-    total = count(text)[0]
+    run = max(1, capacity // 4)
+    if len(text) > _LONG_TEXT:
+        start = at = held = 0
+        for piece, n in count.sizes(text):
+            if held + n > capacity:
+                if held:
+                    yield text[start:at], held
+                start, held = at, 0
+            at += len(piece)
+            if n > capacity:
+                yield from ((text[k : min(k + run, at)], count.total(text[k : min(k + run, at)])) for k in range(start, at, run))
+                start = at
+            else:
+                held += n
+        if held:
+            yield text[start:], held
+        return
+    pieces, sizes = count.split(text)
+    total = sum(sizes)
     if total <= capacity:
         if total:
             yield text, total
         return
-    start = held = 0
-    for piece, at, n in count.sizes(text):
-        if held + n > capacity and held:
-            yield text[start:at], held
-            start, held = at, 0
-        if n > capacity:
-            for k in range(at, at + len(piece), max(1, capacity // 4)):
-                run = text[k : min(k + max(1, capacity // 4), at + len(piece))]
-                yield run, count(run)[0]
-            start = at + len(piece)
+    ends, chars = np.cumsum(sizes), np.concatenate([[0], np.cumsum(list(map(len, pieces)))])
+    i = before = 0
+    while i < len(pieces):
+        j = int(np.searchsorted(ends, before + capacity, side="right"))
+        if j > i:
+            yield text[chars[i] : chars[j]], int(ends[j - 1]) - before
         else:
-            held += n
-    if held:
-        yield text[start:], held
+            j = i + 1
+            yield from ((x, count.total(x)) for k in range(0, len(pieces[i]), run) if (x := pieces[i][k : k + run]))
+        i, before = j, int(ends[j - 1])
 
 
 def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
