@@ -1,20 +1,22 @@
-"""Collections as versioned Parquet tables.
+"""Collections as Parquet tables that are appended to.
 
-A collection is a folder with ``metadata.json``, and one folder of Parquet for each version.  A write makes a new version
-and then points the metadata at it, so readers never see half a write and a lost job leaves the last version whole.
+A collection is a folder with a log of numbered versions (``log/<number>.json``), a base table whose ids are distinct, and
+a folder of Parquet for each write since.  A write appends its rows, deletions being rows too, and then adds the next
+version to the log, which fails if another writer has added it meanwhile; the write then takes the number after that.  So
+readers never see half a write, no write is lost, a lost job leaves the last version whole, and a write reads nothing old.
+Of the rows of one id the last written counts.  ``compact`` makes a new base of what there is.
 """
 
 from __future__ import annotations
 
 import json
-import threading
 import time
 import uuid
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, FloatType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.filters import resolver, compile_filter
@@ -25,6 +27,9 @@ from ..plans.cache import ResultCache
 
 SCHEMA = StructType([StructField("id", StringType()), StructField("vector", ArrayType(FloatType())), StructField("metadata", StringType()), StructField("content", StringType()), StructField("_seq", LongType())])
 
+#: Changed ids that are sent to each task, so that the base isn't shuffled.
+SMALL = 500_000
+
 
 class LatticaError(Exception):
     """Base of the errors below."""
@@ -42,6 +47,10 @@ class InvalidRequest(LatticaError, ValueError):
     pass
 
 
+class Conflict(LatticaError):
+    """Another writer was faster."""
+
+
 @dataclass(frozen=True)
 class ContentStorage:
     enabled: bool = True
@@ -65,8 +74,10 @@ class CollectionMeta:
     config: dict = field(default_factory=dict)
     created: float = 0.0
     modified: float = 0.0
-    version: str | None = None
-    next_seq: int = 0
+    version: int = 0
+    base: str | None = None
+    deltas: tuple[str, ...] = ()
+    delta_rows: int = 0
 
 
 class _Files:
@@ -91,19 +102,34 @@ class _Files:
         finally:
             stream.close()
 
-    def write(self, path: str, text: str) -> None:
-        """Write beside the target and rename over it."""
+    def create(self, path: str, text: str) -> None:
+        """A whole new file, or none: written beside its place and renamed to it, which fails where there is one."""
         fs, p = self._at(f"{path}.{uuid.uuid4().hex}.tmp")
         stream = fs.create(p, True)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        target = self.jvm.org.apache.hadoop.fs.Path(path)
-        if fs.exists(target):
-            fs.delete(target, False)
-        if not fs.rename(p, target):
-            raise OSError(f"cannot write {path}")
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.conf)
+        target, options = fs.makeQualified(self.jvm.org.apache.hadoop.fs.Path(path)), self.jvm.org.apache.hadoop.fs.Options
+        try:
+            context.rename(fs.makeQualified(p), target, self._no_options(options))
+        except Exception as e:
+            fs.delete(p, False)
+            if "FileAlreadyExists" in str(e):
+                raise Conflict(path) from None
+            raise
+
+    def _no_options(self, options):
+        from pyspark import SparkContext
+
+        return SparkContext._gateway.new_array(options.Rename, 0)
+
+    def rename(self, source: str, target: str) -> None:
+        fs, p = self._at(target)
+        fs.mkdirs(p.getParent())
+        if not fs.rename(self.jvm.org.apache.hadoop.fs.Path(source), p):
+            raise OSError(f"cannot write {target}")
 
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
@@ -113,6 +139,10 @@ class _Files:
         fs, p = self._at(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
 
+    def names(self, path: str) -> list[str]:
+        fs, p = self._at(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
     def size(self, path: str) -> int:
         fs, p = self._at(path)
         return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
@@ -122,9 +152,9 @@ class _Files:
         self.jvm.org.apache.hadoop.fs.FileUtil.copy(fs, a, gs, b, False, self.conf)
 
 
-def latest(rows: DataFrame, id_col: str = "id", seq_col: str = "_seq") -> DataFrame:
-    """Of the rows of one id the last written."""
-    w = Window.partitionBy(id_col).orderBy(F.desc(seq_col))
+def latest(rows: DataFrame, id_col: str = "id", *order: str) -> DataFrame:
+    """Of the rows of one id the last written, by the columns of ``order``."""
+    w = Window.partitionBy(id_col).orderBy(*[F.desc(c) for c in order or ("_seq",)])
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
@@ -145,17 +175,55 @@ class Collection:
     def path(self) -> str:
         return f"{self.db.root}/{self.meta.name}"
 
-    def rows(self) -> DataFrame:
-        """``id, vector, metadata`` (JSON), ``content, _seq``."""
-        if self.meta.version is None:
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{self.meta.version}")
+    def refresh(self) -> CollectionMeta:
+        """The newest version, also where another handle or process has written it."""
+        self.meta = self.db._newest(self.meta.name)
+        return self.meta
 
-    def _commit(self, rows: DataFrame, next_seq: int | None = None) -> None:
-        version = f"v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-        rows.select(*SCHEMA.names).write.parquet(f"{self.path}/{version}")
-        self.meta = replace(self.meta, version=version, modified=time.time(), next_seq=self.meta.next_seq if next_seq is None else next_seq)
-        self.db._save(self.meta)
+    def rows(self) -> DataFrame:
+        """``id, vector, metadata`` (JSON), ``content, _seq`` of the newest version."""
+        return self._rows(self.refresh())
+
+    def _rows(self, meta: CollectionMeta) -> DataFrame:
+        base = self.spark.createDataFrame([], SCHEMA) if meta.base is None else self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{meta.base}")
+        if not meta.deltas:
+            return base
+        written = StructType([*SCHEMA.fields, StructField("_deleted", BooleanType()), StructField("c", StringType())])
+        new = self.spark.read.schema(written).option("basePath", f"{self.path}/delta").parquet(*[f"{self.path}/delta/{x}" for x in meta.deltas])
+        new = latest(new, "id", "c", "_seq")
+        alive = new.where("NOT _deleted").select(*SCHEMA.names)
+        if meta.base is None:
+            return alive
+        changed = new.select("id")
+        return base.join(F.broadcast(changed) if meta.delta_rows <= SMALL else changed, "id", "left_anti").select(*SCHEMA.names).unionByName(alive)
+
+    def _commit(self, change, attempts: int = 20) -> None:
+        """Add the version that ``change`` makes of the newest one and its number; again, if another writer was faster."""
+        for _ in range(attempts):
+            old = self.refresh()
+            new = change(replace(old, version=old.version + 1, modified=time.time()))
+            try:
+                self.db._add(new)
+            except Conflict:
+                continue
+            self.meta = new
+            return
+        raise Conflict(f"{self.meta.name}: {attempts} attempts")
+
+    def _append(self, folder: str, n: int) -> None:
+        """Make the rows of a folder part of the collection."""
+        place = [folder]
+
+        def change(meta: CollectionMeta) -> CollectionMeta:
+            name = f"c={meta.version:012d}-{uuid.uuid4().hex[:8]}"  # the order of writes, which readers take from the path
+            self.db.files.rename(place[0], f"{self.path}/delta/{name}")
+            place[0] = f"{self.path}/delta/{name}"
+            return replace(meta, deltas=(*meta.deltas, name), delta_rows=meta.delta_rows + n)
+
+        self._commit(change)
+
+    def _staged(self) -> str:
+        return f"{self.path}/staged-{uuid.uuid4().hex}"
 
     # writing
 
@@ -165,10 +233,10 @@ class Collection:
         has = lambda c: c in names
         kind = rows.schema["metadata"].dataType if has("metadata") else None
         metadata = F.lit("{}") if kind is None else F.coalesce(F.col("metadata") if isinstance(kind, StringType) else F.to_json("metadata"), F.lit("{}"))
-        order = F.col("_order") if has("_order") else F.monotonically_increasing_id()
+        order = (F.col("_order") if has("_order") else F.monotonically_increasing_id()).cast("bigint")
         return rows.select(
             F.col("id").cast("string").alias("id"), F.col("vector").cast("array<float>").alias("vector"), metadata.alias("metadata"), (F.col("content") if has("content") else F.lit(None).cast("string")).alias("content"),
-            (order + F.lit(self.meta.next_seq)).alias("_seq"),
+            order.alias("_seq"), F.lit(False).alias("_deleted"),
         )
 
     def _check(self, rows: DataFrame) -> int:
@@ -177,17 +245,24 @@ class Collection:
         bad_id = F.col("id").isNull() | (F.col("id") == "")
         bad_vector = F.col("vector").isNull() | (F.size("vector") != self.meta.dimensions) | F.exists("vector", lambda x: x.isNull())
         bad_content = (F.octet_length("content") > limit) if limit else F.lit(False)
-        n = rows.agg(F.count("*").alias("n"), F.count_if(bad_id).alias("ids"), F.count_if(bad_vector).alias("vectors"), F.count_if(F.coalesce(bad_content, F.lit(False))).alias("contents"), F.max("_seq").alias("top")).first()
+        n = rows.agg(F.count("*").alias("n"), F.count_if(bad_id).alias("ids"), F.count_if(bad_vector).alias("vectors"), F.count_if(F.coalesce(bad_content, F.lit(False))).alias("contents")).first()
         if n.ids or n.vectors or n.contents:
             raise InvalidRequest(f"{n.ids} rows without id, {n.vectors} without {self.meta.dimensions} dimensions, {n.contents} with too long a content; nothing was written")
-        return -1 if n.top is None else n.top
+        return n.n
 
     def insert_dataframe(self, rows: DataFrame) -> None:
-        """Upsert ``id, vector[, metadata, content, _order]``; later rows win over earlier ones of the same id."""
-        rows = self._shaped(rows)
-        with self.db.lock:
-            top = self._check(rows)
-            self._commit(upsert(self.rows(), latest(rows)), max(self.meta.next_seq, top + 1))
+        """Upsert ``id, vector[, metadata, content, _order]``; later rows win over earlier ones of the same id.
+
+        ``rows`` is computed once: it is written, what was written is checked, and only then made part of the collection.
+        """
+        staged = self._staged()
+        self._shaped(rows).write.parquet(staged)
+        try:
+            n = self._check(self.spark.read.parquet(staged))
+            if n:
+                self._append(staged, n)
+        finally:
+            self.db.files.delete(staged)
 
     def _local(self, items: list[dict]) -> DataFrame:
         made = [(x.get("id"), [float(v) for v in x["vector"]] if x.get("vector") is not None else None, json.dumps(x.get("metadata") or {}), x.get("content"), k) for k, x in enumerate(items)]
@@ -206,12 +281,18 @@ class Collection:
 
     def insert_text_dataframe(self, rows: DataFrame) -> int:
         """Embed and upsert ``id, text[, metadata]``; returns how many texts couldn't be embedded and weren't written."""
-        storage = self.meta.content_storage
-        embedded = embed_column(rows, self._vectorizer())
-        if storage.enabled:
+        embedded, staged = embed_column(rows, self._vectorizer()), self._staged()
+        if self.meta.content_storage.enabled:
             embedded = embedded.withColumn("content", F.col("text"))
-        failed = embedded.where("embed_error IS NOT NULL OR vector IS NULL").count()
-        self.insert_dataframe(embedded.where("vector IS NOT NULL").drop("text", "embed_error"))
+        if "_order" not in embedded.columns:
+            embedded = embedded.withColumn("_order", F.monotonically_increasing_id())
+        embedded.drop("text").write.parquet(staged)  # each text is embedded once
+        try:
+            embedded = self.spark.read.parquet(staged)
+            failed = embedded.where("vector IS NULL").count()
+            self.insert_dataframe(embedded.where("vector IS NOT NULL").drop("embed_error"))
+        finally:
+            self.db.files.delete(staged)
         return failed
 
     def insert_text(self, id: str, text: str, metadata: dict | None = None) -> None:  # noqa: A002
@@ -222,21 +303,27 @@ class Collection:
         made = [(x["id"], x["text"], json.dumps(x.get("metadata") or {}), k) for k, x in enumerate(items)]
         return self.insert_text_dataframe(self.spark.createDataFrame(made, "id string, text string, metadata string, _order bigint"))
 
+    def _delete(self, ids: DataFrame) -> int:
+        """Write rows that say that these ids are gone; their number."""
+        staged = self._staged()
+        gone = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMA.fields}
+        ids.select(F.col("id"), *[c for k, c in gone.items() if k not in ("id", "_seq")], F.lit(0).cast("bigint").alias("_seq"), F.lit(True).alias("_deleted")).write.parquet(staged)
+        try:
+            n = self.spark.read.parquet(staged).count()
+            if n:
+                self._append(staged, n)
+        finally:
+            self.db.files.delete(staged)
+        return n
+
     def delete(self, id: str) -> None:  # noqa: A002
-        with self.db.lock:
-            if self.rows().where(F.col("id") == id).isEmpty():
-                raise NotFound(id)
-            self._commit(self.rows().where(F.col("id") != id))
+        if not self._delete(self.rows().where(F.col("id") == id)):
+            raise NotFound(id)
 
     def delete_where(self, spec: dict) -> int:
         """Delete the rows for which a filter holds; returns their number."""
-        with self.db.lock:
-            rows = self.rows()
-            gone = compile_filter(spec, resolver(rows, "metadata"))
-            n = rows.where(gone).count()
-            if n:
-                self._commit(rows.where(~gone))
-            return n
+        rows = self.rows()
+        return self._delete(rows.where(compile_filter(spec, resolver(rows, "metadata"))))
 
     def delete_document(self, filename: str | None = None, title: str | None = None, url: str | None = None) -> int:
         """Delete a document's rows by the first of these that is given."""
@@ -246,16 +333,27 @@ class Collection:
         raise InvalidRequest("a filename, title or url is needed")
 
     def compact(self, files: int | None = None) -> None:
-        """Rewrite the rows, in ``files`` files if given, and drop older versions."""
-        with self.db.lock:
-            old = [x for x in self.db.files.folders(self.path) if x.startswith("v-")]
-            self._commit(self.rows().coalesce(files) if files else self.rows())
-            for x in old:
-                self.db.files.delete(f"{self.path}/{x}")
+        """Make a new base of the newest version, in ``files`` files if given, and drop what no later version needs.
+
+        What is written while it runs stays on top of the new base.
+        """
+        old, base = self.refresh(), f"base-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        rows = self._rows(old)
+        (rows.coalesce(files) if files else rows).write.parquet(f"{self.path}/{base}")
+        n = self.spark.read.parquet(*[f"{self.path}/delta/{x}" for x in old.deltas]).count() if old.deltas else 0
+
+        def change(meta: CollectionMeta) -> CollectionMeta:
+            if meta.base != old.base:
+                raise InvalidRequest("another compaction was faster")
+            return replace(meta, base=base, deltas=meta.deltas[len(old.deltas) :], delta_rows=meta.delta_rows - n)
+
+        self._commit(change)
+        for x in [*([old.base] if old.base else []), *[f"delta/{d}" for d in old.deltas]]:
+            self.db.files.delete(f"{self.path}/{x}")
+        self.db._forget(self.meta)
 
     def set_content_storage(self, storage: ContentStorage) -> None:
-        self.meta = replace(self.meta, content_storage=storage)
-        self.db._save(self.meta)
+        self._commit(lambda meta: replace(meta, content_storage=storage))
 
     # reading
 
@@ -293,7 +391,8 @@ class Collection:
                 results.append(r)
             return {"results": results, "total": candidates(self.rows(), request.filter).first().total}
 
-        return self.db.cache.through((self.meta.name, self.meta.version), request, run)
+        self.refresh()
+        return self.db.cache.through((self.meta.name, self.meta.created, self.meta.version), request, run)
 
     def search_text(self, query: str, limit: int | None = 10, **options) -> dict:
         return self.search(embed_query(query, self._vectorizer()), limit, **{"include_metadata": True, "include_content": True} | options)
@@ -308,11 +407,35 @@ class Database:
 
     def __init__(self, spark: SparkSession, root: str, cache: ResultCache | None = None):
         self.spark, self.root, self.files = spark, root.rstrip("/"), _Files(spark)
-        self.lock, self.closed, self.cache = threading.RLock(), False, cache or ResultCache()
+        self.closed, self.cache = False, cache or ResultCache()
         self.started = time.time()
 
-    def _save(self, meta: CollectionMeta) -> None:
-        self.files.write(f"{self.root}/{meta.name}/metadata.json", json.dumps(asdict(meta)))
+    def _add(self, meta: CollectionMeta, root: str | None = None) -> None:
+        """Add a version to the log; Conflict if it is there."""
+        self.files.create(f"{root or self.root}/{meta.name}/log/{meta.version:012d}.json", json.dumps(asdict(meta)))
+
+    def _versions(self, name: str) -> list[str]:
+        return [x for x in self.files.names(f"{self.root}/{name}/log") if x.endswith(".json")]
+
+    def _newest(self, name: str) -> CollectionMeta:
+        for _ in range(5):  # a compaction may delete old entries between the listing and the reading
+            found = self._versions(name)
+            if not found:
+                raise NotFound(name)
+            try:
+                held = json.loads(self.files.read(f"{self.root}/{name}/log/{found[-1]}"))
+            except Exception as e:
+                if "FileNotFound" not in str(e):
+                    raise
+                continue
+            return CollectionMeta(**held | {"content_storage": ContentStorage(**held["content_storage"]), "deltas": tuple(held["deltas"])})
+        raise NotFound(name)
+
+    def _forget(self, meta: CollectionMeta) -> None:
+        """Delete the log's entries before a version."""
+        for x in self._versions(meta.name):
+            if x < f"{meta.version:012d}.json":
+                self.files.delete(f"{self.root}/{meta.name}/log/{x}")
 
     def _open(self) -> None:
         if self.closed:
@@ -329,25 +452,23 @@ class Database:
         except ValueError as e:
             raise InvalidRequest(str(e)) from None
         storage = content_storage if isinstance(content_storage, ContentStorage) else ContentStorage(**content_storage or {})
-        with self.lock:
-            if self.files.exists(f"{self.root}/{name}/metadata.json"):
-                raise AlreadyExists(name)
-            now = time.time()
-            meta = CollectionMeta(name, dimensions, int(metric), int(index_type), storage, vectorizer, config or {}, now, now)
-            self._save(meta)
-            return Collection(self, meta)
+        if self._versions(name):
+            raise AlreadyExists(name)
+        now = time.time()
+        meta = CollectionMeta(name, dimensions, int(metric), int(index_type), storage, vectorizer, config or {}, now, now)
+        try:
+            self._add(meta)
+        except Conflict:
+            raise AlreadyExists(name) from None
+        return Collection(self, meta)
 
     def collection(self, name: str) -> Collection:
         self._open()
-        path = f"{self.root}/{name}/metadata.json"
-        if not self.files.exists(path):
-            raise NotFound(name)
-        held = json.loads(self.files.read(path))
-        return Collection(self, CollectionMeta(**held | {"content_storage": ContentStorage(**held["content_storage"])}))
+        return Collection(self, self._newest(name))
 
     def names(self) -> list[str]:
         self._open()
-        return [x for x in self.files.folders(self.root) if self.files.exists(f"{self.root}/{x}/metadata.json")]
+        return [x for x in self.files.folders(self.root) if self._versions(x)]
 
     def list(self) -> DataFrame:
         """``name, dimensions, metric, index_type, created, modified``, by name."""
@@ -356,9 +477,8 @@ class Database:
         return self.spark.createDataFrame(rows, "name string, dimensions int, metric string, index_type string, created double, modified double")
 
     def drop(self, name: str) -> None:
-        with self.lock:
-            self.collection(name)
-            self.files.delete(f"{self.root}/{name}")
+        self.collection(name)
+        self.files.delete(f"{self.root}/{name}")
 
     def import_json(self, name: str, path: str, dimensions: int, **options) -> Collection:
         """A collection from one JSON object of id to ``{vector, metadata}``, as embedded stores dump it."""
@@ -379,14 +499,14 @@ class Database:
         """Copy every collection, at the version it has now."""
         for x in self.names():
             c = self.collection(x)
-            if c.meta.version:
-                self.files.copy(f"{c.path}/{c.meta.version}", f"{target}/{x}/{c.meta.version}")
-            self.files.write(f"{target}/{x}/metadata.json", json.dumps(asdict(c.meta)))
+            for held in [*([c.meta.base] if c.meta.base else []), *[f"delta/{d}" for d in c.meta.deltas]]:
+                self.files.copy(f"{c.path}/{held}", f"{target}/{x}/{held}")
+            self._add(c.meta, target)  # last, so that a backup without it is none
 
     def restore(self, source: str) -> None:
         """Copy the collections of a backup here; one that exists already is an error."""
         for x in self.files.folders(source):
-            if self.files.exists(f"{self.root}/{x}/metadata.json"):
+            if self._versions(x):
                 raise AlreadyExists(x)
             self.files.copy(f"{source}/{x}", f"{self.root}/{x}")
 

@@ -4,6 +4,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from lattica.functions.metrics import VectorizerType
+from lattica.operators.embed import HashVectorizer
 from lattica.operators.search import SearchRequest
 from lattica.plans import config
 from lattica.plans.cache import ResultCache
@@ -40,7 +42,7 @@ def test_collection_life(spark, db, tmp_path):
     assert again.count() == 3 and again.info()["metric"] == "cosine"
     assert c.delete_where({"kind": "b"}) == 1 and c.delete_where({"kind": "b"}) == 0
     c.compact(1)
-    assert c.count() == 2 and len([x for x in os.listdir(f"{db.root}/things") if x.startswith("v-")]) == 1
+    assert c.count() == 2 and len([x for x in os.listdir(f"{db.root}/things") if x.startswith("base-")]) == 1 and not os.listdir(f"{db.root}/things/delta")
     db.backup(str(tmp_path / "copy"))
     db.drop("things")
     with pytest.raises(NotFound):
@@ -53,6 +55,86 @@ def test_collection_life(spark, db, tmp_path):
         db.names()
 
 
+def test_two_handles_lose_nothing(spark, db):
+    a = db.create("c", 2)
+    b = Database(spark, db.root).collection("c")
+    a.insert("x", [1, 0])
+    b.insert("y", [0, 1])
+    a.insert("y", [2, 2])
+    b.delete("x")
+    assert a.count() == b.count() == 1 and b.get("y")["vector"] == [2.0, 2.0]
+    a.compact()
+    b.insert("z", [1, 1])
+    assert {r.id for r in a.rows().collect()} == {"y", "z"}
+
+
+def test_a_faster_writer(spark, db, monkeypatch):
+    """Another writer adds a version between the reading of the newest and the writing of the next."""
+    a, b = db.create("c", 2), Database(spark, db.root).collection("c")
+    add, done = a.db._add, []
+
+    def slow(meta, root=None):
+        if not done:
+            done.append(1)
+            b.insert("b", [0, 1])
+        add(meta, root)
+
+    monkeypatch.setattr(a.db, "_add", slow)
+    a.insert("a", [1, 0])
+    assert {r.id for r in a.rows().collect()} == {"a", "b"} and a.meta.version == 2
+
+
+def test_a_lost_write_changes_nothing(db, monkeypatch):
+    c = db.create("c", 2)
+    c.insert("a", [1, 0])
+
+    def lost(*_):
+        raise OSError("the driver is gone")
+
+    for step in ("rename", "create"):
+        with monkeypatch.context() as m:
+            m.setattr(db.files, step, lost)
+            with pytest.raises(OSError):
+                c.insert("b", [0, 1])
+        assert [r.id for r in c.rows().collect()] == ["a"]
+    c.insert("b", [0, 1])
+    assert c.count() == 2
+
+
+def test_an_insert_reads_nothing_old(db, monkeypatch):
+    c = db.create("c", 2)
+    c.insert("a", [1, 0])
+
+    def read(*_):
+        raise AssertionError("old rows are read")
+
+    with monkeypatch.context() as m:
+        m.setattr(type(c), "_rows", read)
+        c.insert("a", [0, 1])
+    assert c.get("a")["vector"] == [0.0, 1.0]
+
+
+def test_texts_are_embedded_once(spark, db, tmp_path):
+    log = tmp_path / "asked"
+
+    class Counting(HashVectorizer):
+        def embed(self, texts):
+            with open(log, "a") as f:
+                f.write("x" * len(texts))
+            return super().embed(texts)
+
+    from lattica.operators import embed
+
+    c = db.create("t", 8, vectorizer={"type": "hash"})
+    old = embed.VECTORIZERS[VectorizerType.HASH]
+    embed.register_vectorizer(VectorizerType.HASH, Counting)
+    try:
+        c.insert_text_batch([{"id": str(k), "text": f"text {k}"} for k in range(8)])
+    finally:
+        embed.register_vectorizer(VectorizerType.HASH, old)
+    assert c.count() == 8 and (not log.exists() or len(log.read_text()) == 8)
+
+
 def test_cache_is_never_stale(db):
     c = db.create("c", 2)
     c.insert("a", [1, 0])
