@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import numpy as np
 
+from .shared import CACHES
+
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 2**64)
 _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+CACHES.append(_POWERS.clear)
 #: Lower-case word bytes; upper case is folded here only for ASCII (texts come lower-cased).
 _IS_WORD = np.array([chr(b).isalnum() and b < 128 or b >= 128 for b in range(256)], dtype=bool)
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)

@@ -113,7 +113,7 @@ def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str =
                 row += 1
             if out:
                 yield _batch(out, types)
-        release()
+        release(keep_caches=True)
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by([("size", "descending"), ("doc_id", "ascending"), ("row_id", "ascending"), ("piece", "ascending")])

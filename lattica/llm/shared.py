@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL: list[str] = []
 _TABLES: list[str] = []
 _CONF: list = []
+#: Functions that empty what a worker keeps from task to task of one stage.
+CACHES: list = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -79,8 +81,10 @@ def fresh(taken, *names: str) -> list[str]:
     return out
 
 
-def release() -> None:
+def release(keep_caches: bool = False) -> None:
     """Give memory that a Python worker no longer uses back to the machine: idle workers live on beside later stages."""
+    for clear in () if keep_caches else CACHES:
+        clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import release
+from .shared import CACHES, release
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokens: contractions, a word, a number or a run of marks with a space before it, white space.
@@ -34,6 +34,7 @@ _LEARNED = 100_000
 _LONG_PIECE = 64
 _LONG_TEXT = 4_000_000
 _STATE: dict = {}
+CACHES.append(_STATE.clear)
 
 SCHEMA = "doc_id bigint, n_tokens bigint, n_pretokens bigint, n_direct bigint, n_merged bigint"
 
@@ -170,7 +171,7 @@ def token_sizes(docs: DataFrame, column: str, tokenizer: str = TOKENIZER, text_c
             at = batch.schema.get_field_index(text_col)
             sizes = pa.array([of.total(t) for t in batch.column(at).to_pylist()], pa.int64())
             yield batch.remove_column(at).append_column(column, sizes)
-        release()
+        release(keep_caches=True)
 
     return docs.mapInArrow(count, StructType([*fields, StructField(column, LongType())]))
 
