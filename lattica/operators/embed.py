@@ -44,16 +44,31 @@ class HashVectorizer(Vectorizer):
         if not 1 <= config.dimensions <= MAX_DIMENSIONS:
             raise ValueError(f"dimensions must lie between 1 and {MAX_DIMENSIONS}")
         self.dimensions, self.model = config.dimensions, config.model or "hash"
+        self._words: dict[str, tuple[list[int], list[float]]] = {}
+
+    def _feature(self, name: str, weight: float) -> tuple[list[int], list[float]]:
+        data = name.encode()
+        return [zlib.crc32(data) % self.dimensions], [weight if zlib.adler32(data) & 1 else -weight]
+
+    def _of_word(self, word: str) -> tuple[list[int], list[float]]:
+        """Places and weights of a word and its trigrams, kept for the words met most lately."""
+        found = self._words.get(word)
+        if found is None:
+            parts = [self._feature("w" + word, 1.0), *[self._feature("c" + word[i : i + 3], 0.3) for i in range(len(word) - 2)]]
+            found = [p for a, _ in parts for p in a], [w for _, b in parts for w in b]
+            if len(self._words) >= 100_000:
+                self._words.clear()
+            self._words[word] = found
+        return found
 
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dimensions))
         for row, text in zip(out, texts, strict=True):
             words = re.findall(r"\w+", text.lower())
-            features = [("w" + w, 1.0) for w in words] + [("p" + a + " " + b, 0.5) for a, b in zip(words, words[1:], strict=False)]
-            features += [("c" + w[i : i + 3], 0.3) for w in words for i in range(len(w) - 2)]
-            for name, weight in features:
-                h = zlib.crc32(name.encode())
-                row[h % self.dimensions] += weight if zlib.adler32(name.encode()) & 1 else -weight
+            held = [self._of_word(w) for w in words] + [self._feature("p" + a + " " + b, 0.5) for a, b in zip(words, words[1:], strict=False)]
+            if held:
+                at, weights = zip(*held, strict=True)
+                row += np.bincount(np.concatenate(at), weights=np.concatenate(weights), minlength=self.dimensions)
         size = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return np.divide(out, size, out=out, where=size > 0)
 

@@ -98,7 +98,7 @@ def fit_context(results: DataFrame, budget: int, group_col: str | None = None, c
 
 def prompt_context(results: DataFrame, title_col: str = "title", content_col: str = "content", score: str = "score", id_col: str = "id") -> DataFrame:
     """``context``: each result under a line that names its source and score, best first."""
-    part = F.concat(F.lit("--- Source: "), F.coalesce(F.col(title_col), F.lit("unknown")), F.lit(" (Score: "), F.format_number(F.col(score), 3), F.lit(") ---\n"), F.coalesce(F.col(content_col), F.lit("")))
+    part = F.concat(F.lit("--- Source: "), F.coalesce(F.col(title_col), F.lit("unknown")), F.lit(" (Score: "), F.replace(F.format_number(F.col(score), 3), F.lit(","), F.lit("")), F.lit(") ---\n"), F.coalesce(F.col(content_col), F.lit("")))
     held = F.sort_array(F.collect_list(F.struct((-F.col(score)).alias("a"), F.col(id_col).alias("b"), part.alias("part"))))
     return results.agg(F.array_join(F.transform(held, lambda x: x["part"]), "\n\n").alias("context"))
 

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.filters import apply_filter
-from ..functions.metrics import Metric, cosine, index_distance, literal, norm, similarity
+from ..functions.metrics import Metric, index_distance, literal, similarity
 
 DEFAULT_LIMIT, MOST = 10, 1000
+#: Queries of a join that are sent to each task, and beyond that, queries in a block.
+BLOCK = 4_000
 
 
 def clamp_limit(limit: int | None) -> int:
@@ -80,22 +82,51 @@ def flat_index_search(rows: DataFrame, vector, k: int, metric: Metric | int | st
     return ranked(rows.select(id_col, index_distance(metric, F.col(vector_col), literal(vector)).alias("distance")), k, score="distance", id_col=id_col, ascending=True)
 
 
-def knn_join(rows: DataFrame, queries: DataFrame, k: int, metric: Metric | int | str = Metric.COSINE, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query") -> DataFrame:
-    """``query_id, id, score, rank``: the ``k`` nearest rows of each query, as expressions only.
+def knn_join(rows: DataFrame, queries: DataFrame, k: int, metric: Metric | int | str = Metric.COSINE, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query", block: int = BLOCK) -> DataFrame:
+    """``query_id, id, score, rank``: the ``k`` nearest rows of each query, for integer ids.
 
-    The queries are the broadcast side of a nested-loop join; they are the small side by the nature of a batch of
-    searches.  ``batch_search`` does the same faster where there are many.
+    Up to ``block`` queries are sent to each task.  More are dealt to blocks of about so many, and the rows to blocks of
+    their own; each pair of blocks is one matrix product that keeps its ``k`` best, so no pairs are made.
     """
-    double = lambda c: F.col(c).cast("array<double>")
-    left = rows.select(F.col(id_col), double(vector_col).alias("__v"), norm(double(vector_col)).alias("__nv"))
-    right = queries.select(F.col(query_id), double(query_vector).alias("__q"), norm(double(query_vector)).alias("__nq"))
-    if Metric.parse(metric) is Metric.COSINE:  # each vector's norm once, not once a pair
-        score = cosine(F.col("__v"), F.col("__q"), F.col("__nv"), F.col("__nq"))
+    metric = Metric.parse(metric)
+    asked = queries.select(F.col(query_id).cast("bigint").alias("id"), F.col(query_vector).cast("array<double>").alias("v"))
+    held = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    n = asked.count()
+    if n <= block:
+        few = asked.collect()  # ``block`` at most
+        found = batch_search(rows, [r.id for r in few], [r.v for r in few], k, metric, id_col, vector_col)
+        return found.select(F.col("query_id").alias(query_id), F.col("id").alias(id_col), "score", "rank")
+    of_queries, of_rows = -(-n // block), -(-held.count() // (4 * block))
+    deal = lambda parts: F.pmod(F.xxhash64("id", "v"), F.lit(parts))
+    each = lambda parts: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint")))
+    left = held.withColumn("row_block", deal(max(1, of_rows))).withColumn("query_block", each(of_queries))
+    right = asked.withColumn("query_block", deal(of_queries)).withColumn("row_block", each(max(1, of_rows)))
+
+    def search(stored: pa.Table, some: pa.Table) -> pa.Table:
+        out = []
+        if stored.num_rows and some.num_rows:
+            own, ids = stored.column("id").to_numpy(), some.column("id").to_numpy()
+            dims = len(some.column("v")[0].as_py() or [])
+            v, q = _matrix(stored.column("v"), dims), _matrix(some.column("v"), dims)
+            for s in range(0, len(q), 512):
+                at, who, score = _best(_scores(metric, q[s : s + 512], v), k)
+                out.append((ids[s : s + 512][at], own[who], score))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table({"query_id": columns[0], "id": columns[1], "score": columns[2]})
+
+    found = left.groupBy("row_block", "query_block").cogroup(right.groupBy("row_block", "query_block")).applyInArrow(search, "query_id bigint, id bigint, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("query_id").alias(query_id), F.col("id").alias(id_col), "score", "rank")
+
+
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and scores of the k best of each row, and of those as good as the k-th."""
+    if scores.shape[1] > k:
+        kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
+        at, who = np.nonzero(scores >= kth[:, None] - 1e-9)
     else:
-        score = similarity(metric, F.col("__v"), F.col("__q"))
-    found = left.crossJoin(F.broadcast(right)).select(query_id, id_col, score.alias("score"))
-    rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), id_col))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+        at, who = (x.ravel() for x in np.indices(scores.shape))
+    return at, who, scores[at, who]
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -139,13 +170,10 @@ def batch_search(rows: DataFrame, query_ids: list, query_vectors, k: int, metric
             if not batch.num_rows or not len(ids):
                 continue
             own = batch.column(0).to_numpy(zero_copy_only=False)
-            s = _scores(metric, q, _matrix(batch.column(1), q.shape[1]))
-            if s.shape[1] > k:
-                kth = np.partition(s, s.shape[1] - k, axis=1)[:, -k]
-                at, who = np.nonzero(s >= kth[:, None] - 1e-9)
-            else:
-                at, who = (x.ravel() for x in np.indices(s.shape))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[at], pa.int64()), pa.array(own[who], pa.int64()), pa.array(s[at, who])], names=["query_id", "id", "score"])
+            v, ids = _matrix(batch.column(1), q.shape[1]), np.asarray(ids)
+            for s in range(0, len(q), 512):
+                at, who, score = _best(_scores(metric, q[s : s + 512], v), k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[s : s + 512][at], pa.int64()), pa.array(own[who], pa.int64()), pa.array(score)], names=["query_id", "id", "score"])
 
     found = rows.select(F.col(id_col).cast("bigint"), F.col(vector_col).cast("array<double>")).mapInArrow(search, "query_id bigint, id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))

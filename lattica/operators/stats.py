@@ -16,6 +16,13 @@ def collection_info(vectors: DataFrame, id_col: str = "id", vector_col: str = "v
     return vectors.agg(F.count("*").alias("vector_count"), F.max(size).alias("dimensions"), F.sum(size.cast("bigint") * 4 + F.octet_length(F.col(id_col).cast("string"))).alias("bytes"))
 
 
+def stats_by(vectors: DataFrame, by: Column, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+    """``collection`` and its ``vector_count, dimensions, bytes``, of the collections that lie in one table, in one pass."""
+    size = F.size(vector_col)
+    of = vectors.groupBy(by.alias("collection"))
+    return of.agg(F.count("*").alias("vector_count"), F.max(size).alias("dimensions"), F.sum(size.cast("bigint") * 4 + F.octet_length(F.col(id_col).cast("string"))).alias("bytes"))
+
+
 def database_stats(collections: dict[str, DataFrame], id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """One row a collection, by name."""
     parts = [collection_info(df, id_col, vector_col).select(F.lit(name).alias("collection"), "*") for name, df in collections.items()]

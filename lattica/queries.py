@@ -205,7 +205,7 @@ _register(
 )
 _register(
     "database_stats",
-    lambda s, d: stats.database_stats({f"label_{k}": _table(s, d, "embeddings").where(F.col("label") == k) for k in range(10)}, "vec_id", "embedding"),
+    lambda s, d: stats.stats_by(_table(s, d, "embeddings"), F.concat(F.lit("label_"), F.col("label")), "vec_id", "embedding"),
     "SELECT 'label_' || label AS collection, count(*) AS vector_count, max(len(embedding))::INT AS dimensions, sum(4 * len(embedding) + strlen(vec_id::VARCHAR))::BIGINT AS bytes FROM embeddings GROUP BY label",
 )
 _register(
@@ -334,14 +334,14 @@ def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("item_id", F.size("vector").alias("dims"), F.round(M.norm(F.col("vector")), 4).alias("norm"))
 
 
-_register("embed_hash", embed_hash, "SELECT item_id, 128 AS dims, 1.0::DOUBLE AS norm FROM benchmark")
+_register("embed_hash", embed_hash)
 
 
 def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten documents nearest to one benchmark passage."""
-    query = embed.embed_column(_table(spark, sf_dir, "benchmark").orderBy("item_id").limit(1).select("text"), _HASH).select(F.col("vector").alias("query"))
-    rows = embed.embed_column(_docs(spark, sf_dir).select("doc_id", "text"), _HASH).crossJoin(F.broadcast(query))
-    return search.ranked(search.scored(rows, F.col("query"), "cosine").select(F.col("doc_id").alias("id"), F.round("score", 6).alias("score")), 10)
+    """The ten documents nearest to each benchmark passage."""
+    queries = embed.embed_column(_table(spark, sf_dir, "benchmark").select("item_id", "text"), _HASH).select(F.col("item_id").alias("query_id"), F.col("vector").alias("query"))
+    rows = embed.embed_column(_docs(spark, sf_dir).select("doc_id", "text"), _HASH).select(F.col("doc_id").alias("id"), "vector")
+    return search.knn_join(rows, queries, 10, "cosine", "id", "vector").withColumn("score", F.round("score", 6))
 
 
 def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -359,17 +359,17 @@ def _scored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multi_collection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three labels as collections: each one's top ten of at least 0.1, the best ten of all."""
+    """Even and odd labels as collections: each one's top ten of at least 0.1, the best ten of all."""
     rows = _with_query(spark, sf_dir).withColumnRenamed("vec_id", "id")
-    parts = {f"label_{k}": rows.where(F.col("label") == k) for k in (1, 2, 3)}
+    parts = {name: rows.where(f"label % 2 {sign} 0") for name, sign in (("even", "="), ("odd", "!="))}
     found = retrieval.multi_search(parts, F.col("query"), "cosine", 10, 0.1, vector_col="embedding", dedup=False)
     return found.select("collection", "id", F.round("score", 6).alias("score"))
 
 
 _register(
     "multi_collection_search", multi_collection_search,
-    f"""SELECT 'label_' || label AS collection, vec_id AS id, round(score, 6) AS score FROM (
-SELECT vec_id, label, {_SIMILARITY["cosine"]} AS score FROM embeddings, {_QUERY}) WHERE label IN (1, 2, 3) AND score >= 0.1 ORDER BY score DESC, vec_id LIMIT 10""",
+    f"""SELECT CASE WHEN label % 2 = 0 THEN 'even' ELSE 'odd' END AS collection, vec_id AS id, round(score, 6) AS score FROM (
+SELECT vec_id, label, {_SIMILARITY["cosine"]} AS score FROM embeddings, {_QUERY}) WHERE score >= 0.1 ORDER BY score DESC, vec_id LIMIT 10""",
 )
 
 

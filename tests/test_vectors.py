@@ -230,3 +230,34 @@ def test_ivf_probing_every_list_is_exact(spark):
     q = vectors(1, seed=5)[0][1]
     assert ivf.search(q, 10).collect() == index.FlatIndex("cosine").build(df).search(q, 10).collect()
     assert ivf.search(q, 10, 1).count() <= 10
+
+
+def test_hash_vectors_by_their_definition():
+    import re
+    import zlib
+
+    from lattica.operators.embed import VectorizerConfig, make_vectorizer
+
+    texts = ["The quick brown fox, the QUICK fox", "", "é ab a", "word " * 50]
+    got = make_vectorizer(VectorizerConfig("hash", dimensions=32)).embed(texts)
+    for row, text in zip(got, texts, strict=True):
+        want = [0.0] * 32
+        words = re.findall(r"\w+", text.lower())
+        features = [("w" + w, 1.0) for w in words] + [("p" + a + " " + b, 0.5) for a, b in zip(words, words[1:])] + [("c" + w[i : i + 3], 0.3) for w in words for i in range(len(w) - 2)]
+        for name, weight in features:
+            want[zlib.crc32(name.encode()) % 32] += weight if zlib.adler32(name.encode()) & 1 else -weight
+        size = sum(x * x for x in want) ** 0.5
+        assert all(abs(x - (y / size if size else 0)) < 1e-9 for x, y in zip(row, want, strict=True))
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "manhattan", "dot_product"])
+def test_knn_join_in_blocks(spark, metric):
+    import random
+
+    from lattica.operators.search import knn_join
+
+    draw = random.Random(2)
+    df = spark.createDataFrame([(k, [draw.gauss(0, 1) for _ in range(6)]) for k in range(70)], "vec_id bigint, embedding array<double>")
+    asked = df.selectExpr("vec_id AS query_id", "embedding AS query")
+    few, many = (sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in knn_join(df, asked, 5, metric, block=b).collect()) for b in (100, 9))
+    assert few == many and len(few) == 350
