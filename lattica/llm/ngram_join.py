@@ -13,6 +13,10 @@
 
 Groups of candidates are also cut horizontally: a pair belongs with its smallest neighbour, so a group of
 copies meets in one place and neither memory nor traffic depends on the size of the corpus.
+
+Sets that share n-grams of very long prefix lists (crowds, such as thousands of versions of one text) have almost
+all pairs as candidates, and most of them as links.  No pair of a crowd is written down: it is cut into blocks, the
+overlaps of two blocks are a matrix product, and only each set's number of links and a forest of the links leave it.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .components import components, groups
@@ -33,10 +38,18 @@ FRAGMENT = 1_000_000
 PAIRS = 100_000
 #: Pairs of postings beyond which a group's overlaps are taken by matrix product, where that is less work.
 DENSE = 50_000
+#: Sets that share a prefix n-gram beyond which its pairs are not listed, if a crowd can be made of them.
+CROWD = 200
+#: N-grams, and sets, of a block of a crowd.
+BLOCK, BLOCK_SETS = 1_000_000, 2048
+#: Rows up to which a table of a crowd's members is sent to each task.
+SMALL = 500_000
 _LOW48 = np.uint64((1 << 48) - 1)
 _SCATTERED = "part int, chunk bigint, frag int, a binary, b binary, c binary"
 _RETURNED = "chunk bigint, frag int, a binary, b binary, c binary, d binary"
 _SETS = "doc_id bigint, sig bigint, n int, own int, grams binary, bins binary"
+_FOUND = "kind int, a bigint, b bigint, jaccard double, n_links bigint"
+_PAIR, _COUNT, _EDGE = range(3)
 _EPS = 1e-9
 
 
@@ -232,10 +245,12 @@ def _prefix(threshold: float, parts: int):
 
     def prefix(batches):
         for batch in batches:
-            held = []
-            for i, n, own, g in zip(*(batch.column(c).to_pylist() for c in ("sig", "n", "own", "grams")), strict=True):
-                size = n - math.ceil(threshold * n - _EPS) + 1 - own
+            held, crowds = [], {}
+            for i, n, own, g, crowd in zip(*(batch.column(c).to_pylist() for c in ("sig", "n", "own", "grams", "crowd")), strict=True):
+                size = _prefix_size(n, own, threshold)
                 if size > 0:
+                    if crowd is not None:
+                        crowds[i] = crowd
                     g = np.frombuffer(g[: 8 * size], np.uint64)
                     held.append((np.full(len(g), i, np.int64), np.full(len(g), n, np.int32), np.arange(own, own + len(g), dtype=np.int32), g))
             if not held:
@@ -245,14 +260,127 @@ def _prefix(threshold: float, parts: int):
             order = np.argsort(part, kind="stable")
             edges = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0, [True]]))
             cuts = [order[s:e] for s, e in zip(edges[:-1], edges[1:], strict=True)]
+            members = np.array(list(crowds), np.int64)
+            crowded = [[(i, crowds[i]) for i in np.unique(ids[c][np.isin(ids[c], members)]).tolist()] if crowds else [] for c in cuts]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([int(part[c[0]]) for c in cuts], pa.int32()), *[pa.array([x[c].tobytes() for c in cuts], pa.binary()) for x in (ids, n, pos, g)]],
-                names=["part", "ids", "n", "pos", "grams"],
-            )
+                [
+                    pa.array([int(part[c[0]]) for c in cuts], pa.int32()), *[pa.array([x[c].tobytes() for c in cuts], pa.binary()) for x in (ids, n, pos, g)],
+                    pa.array([np.array(x, np.int64).tobytes() for x in crowded], pa.binary()),
+                ],
+                names=["part", "ids", "n", "pos", "grams", "crowds"],
+            )
 
     return prefix
 
 
+def _prefix_size(n: int, own: int, threshold: float) -> int:
+    return n - math.ceil(threshold * n - _EPS) + 1 - own
+
+
+def _frequent(threshold: float, limit: int):
+    """The n-grams of the sets' prefixes that more than ``limit`` sets may hold."""
+    least = frequency_class(np.array([limit + 1]))[0]
+
+    def frequent(batches):
+        for batch in batches:
+            ids, grams = [], []
+            for i, n, own, g, cls in zip(*(batch.column(c).to_pylist() for c in ("sig", "n", "own", "grams", "bins")), strict=True):
+                size = max(0, _prefix_size(n, own, threshold))
+                g = np.frombuffer(g[: 8 * size], np.int64)[np.frombuffer(cls[:size], np.uint8) >= least]
+                if len(g):
+                    ids.append(np.full(len(g), i, np.int64)), grams.append(g)
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(np.concatenate(ids))], names=["gram", "sig"])
+
+    return frequent
+
+
+def _crowds(live: DataFrame, threshold: float) -> DataFrame | None:
+    """``sig, crowd`` of the sets whose pairs within their crowd are counted by blocks; None if there are none.
+
+    A crowd is what prefix n-grams of more than ``CROWD`` sets connect, if its sets have fewer pairs than these n-grams'
+    lists have; what long lists connect but loosely is tried again by longer ones only, and at last left to the lists.
+    """
+    limit, found = CROWD, None
+    posts = written(live.mapInArrow(_frequent(threshold, limit), "gram bigint, sig bigint"), "ngram_frequent")
+    while True:
+        long = posts.groupBy("gram").agg(F.count("*").alias("held"), F.min("sig").alias("first")).where(F.col("held") > limit)
+        lists = written(posts.join(long, "gram"), "ngram_lists")
+        if lists.isEmpty():
+            return found
+        group = groups(lists.select("sig", "first").distinct(), "sig", "first").select(F.col("member").alias("sig"), "head")
+        lists = lists.join(group, "sig", "left").select("gram", "sig", "held", F.coalesce("head", "sig").alias("crowd"))
+        close = lists.groupBy("crowd").agg(F.count_distinct("sig").cast("double").alias("sets"), F.sum("held").alias("pairs")).where("sets * sets <= pairs").select("crowd")
+        members = written(lists.join(close, "crowd", "left_semi").select("sig", "crowd").distinct(), "ngram_crowds")
+        found = members if found is None else found.unionAll(members)
+        posts = written(lists.join(members, "sig", "left_anti").select("gram", "sig"), "ngram_frequent")
+        limit *= 4
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def _crowd_links(live: DataFrame, crowds: DataFrame, shared: DataFrame, threshold: float, pairs: bool) -> DataFrame:
+    """The links within crowds, by pairs of blocks: with ``pairs`` one row each, else numbers of links and a forest; pairs with sets of ``shared`` always have a row."""
+    sets = live.select("sig", "n", (F.length("grams") / 8).alias("held")).join(_sent(crowds), "sig").join(shared.withColumn("plain", F.lit(False)), "sig", "left")
+    weight = F.sum(F.greatest("held", F.lit(BLOCK / BLOCK_SETS))).over(Window.partitionBy("crowd").orderBy("n", "sig").rowsBetween(Window.unboundedPreceding, 0))
+    placed = written(sets.select("sig", "n", "crowd", F.floor(weight / BLOCK).cast("int").alias("block"), F.coalesce("plain", F.lit(True)).alias("plain")), "ngram_blocks")
+    blocks = placed.groupBy("crowd", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    first, second = (blocks.select("crowd", F.col("block").alias(k), F.col("least").alias(f"least_{k}"), F.col("most").alias(f"most_{k}")) for k in ("i", "j"))
+    met = first.join(second, "crowd").where((F.col("i") <= F.col("j")) & (F.col("most_i") >= threshold * F.col("least_j") - _EPS)).select("crowd", "i", "j")
+    asked = met.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+    asked = written(placed.join(asked, ["crowd", "block"]), "ngram_asked")
+    rows = live.select("sig", "grams").join(_sent(asked), "sig")
+    return written(rows.groupBy("crowd", "i", "j").applyInArrow(_block_links(threshold, pairs), _FOUND), "ngram_crowd_links")
+
+
+def _block_links(threshold: float, pairs: bool):
+    def block_links(table: pa.Table) -> pa.Table:
+        ids, n, block, plain = (table.column(c).to_numpy() for c in ("sig", "n", "block", "plain"))
+        packs = [np.frombuffer(b, np.uint64) for b in _column(table, "grams")]
+        local = np.repeat(np.arange(len(ids)), [len(p) for p in packs])
+        grams, postings = np.unique(np.concatenate(packs), return_inverse=True)
+        packs = None
+        some = np.bincount(postings, minlength=len(grams))[postings] > 1
+        local, postings = local[some], np.unique(postings[some], return_inverse=True)[1]
+        order = np.argsort(postings, kind="stable")
+        local, postings = local[order], postings[order]
+        least, most = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        rows, cols = np.flatnonzero(block == least), np.flatnonzero(block == most)
+        overlap = _products(local, postings, rows, cols) if len(local) else np.zeros((len(rows), len(cols)), np.float32)
+        held, label, linked = np.zeros(len(ids), np.int64), np.arange(len(ids)), []
+        for s in range(0, len(rows), 256):
+            mine = rows[s : s + 256]
+            common = overlap[s : s + 256].astype(np.float64)
+            jaccard = common / (n[mine][:, None] + n[cols] - common)
+            link = (jaccard >= threshold - _EPS) & (common > 0)
+            if least == most:
+                link &= mine[:, None] < cols
+            a, b = np.nonzero(link)
+            score = jaccard[a, b]
+            a, b = mine[a], cols[b]
+            row = np.full(len(a), pairs) | ~(plain[a] & plain[b])
+            linked.append((a[row], b[row], score[row]))
+            np.add.at(held, a[~row], 1), np.add.at(held, b[~row], 1)
+            if len(a[~row]):
+                far = np.flatnonzero(label != np.arange(len(ids)))
+                label = components(len(ids), np.concatenate([a[~row], far]), np.concatenate([b[~row], label[far]]))
+        a, b, score = (np.concatenate(x) for x in zip(*linked, strict=True))
+        counted, far = np.flatnonzero(held), np.flatnonzero(label != np.arange(len(ids)))
+        sizes = [len(a), len(counted), len(far)]
+        none = lambda k: np.zeros(k, np.int64)
+        out = {
+            "kind": np.repeat([_PAIR, _COUNT, _EDGE], sizes).astype(np.int32), "a": ids[np.concatenate([a, counted, far])], "b": np.concatenate([ids[b], none(len(counted)), ids[label[far]]]),
+            "jaccard": np.concatenate([score, np.zeros(len(counted) + len(far))]), "n_links": np.concatenate([none(len(a)), held[counted], none(len(far))]),
+        }
+        overlap = grams = postings = local = order = None
+        release()
+        return pa.table(out)
+
+    return block_links
+
+
 def _posting_pairs(keys: np.ndarray, limit: int = 1_000_000):
     """Index pairs (i < j) of equal values in the ascending ``keys``, a block at a time."""
     new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
@@ -283,15 +411,22 @@ def _candidates(threshold: float):
         sets, local = np.unique(ids, return_inverse=True)
         length = np.zeros(len(sets), np.int64)
         length[local] = n
+        crowd = np.arange(len(sets))
+        known = np.concatenate([np.frombuffer(b, np.int64) for b in _column(table, "crowds")]).reshape(-1, 2)
+        crowd[np.searchsorted(sets, known[:, 0])] = len(sets) + np.unique(known[:, 1], return_inverse=True)[1]
         order = np.lexsort((local, grams))
         grams, local, pos = grams[order], local[order].astype(np.int64), pos[order].astype(np.int64)
+        # The lists that lie within a crowd give no pairs here.
+        new = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+        mixed = np.repeat(np.minimum.reduceat(crowd[local], new) != np.maximum.reduceat(crowd[local], new), np.diff(np.append(new, len(grams))))
+        grams, local, pos = grams[mixed], local[mixed], pos[mixed]
         left = length[local] - pos
         found: list[np.ndarray] = []
         held = 0
         for i, j in _posting_pairs(grams):
             a, b = local[i], local[j]
             na, nb = length[a], length[b]
-            ok = (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - _EPS) & (np.minimum(left[i], left[j]) >= share * (na + nb) - _EPS)
+            ok = (crowd[a] != crowd[b]) & (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - _EPS) & (np.minimum(left[i], left[j]) >= share * (na + nb) - _EPS)
             found.append(np.unique(a[ok] << 32 | b[ok]))
             held += len(found[-1])
             if held > 2_000_000 and len(found) > 1:
@@ -434,24 +569,32 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, part
     fewer than ``n`` words has one n-gram, all its words.  Rows that repeat an id are one document if their
     sets are equal; if not, the id has a row for each of its classes.  Other columns are not read; an empty table gives no rows.
     """
-    copies, links = _found(docs, n, threshold, parts, id_col, text_col)
+    copies, links, counts, edges = _found(docs, n, threshold, parts, id_col, text_col)
     copies, links = written(copies, "ngram_copies"), written(links, "ngram_links")
-    degree = links.select(F.col("doc_a").alias("class_id")).unionAll(links.select("doc_b")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    one = F.lit(1).cast("bigint").alias("n_links")
+    degree = links.select(F.col("doc_a").alias("class_id"), one).unionAll(links.select("doc_b", one))
+    if counts is not None:
+        degree = degree.unionAll(counts)
+    degree = degree.groupBy("class_id").agg(F.sum("n_links").alias("n_links"))
     heads = copies.select("doc_a").unionAll(degree.select("class_id")).distinct()
     rows = copies.select(F.col("doc_b").alias("doc_id"), F.col("doc_a").alias("class_id")).unionAll(heads.select("doc_a", F.col("doc_a").alias("class_id")))
-    group = groups(copies.unionAll(links.select("doc_a", "doc_b"))).select(F.col("member").alias("doc_id"), F.col("head").alias("group_id"))
+    together = copies.unionAll(links.select("doc_a", "doc_b"))
+    group = groups(together if edges is None else together.unionAll(edges)).select(F.col("member").alias("doc_id"), F.col("head").alias("group_id"))
     rows = rows.join(degree, "class_id", "left").join(group, "doc_id", "left")
     return rows.select("doc_id", "class_id", F.coalesce("group_id", "doc_id").alias("group_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
 
 
 def similar_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5, parts: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_a < doc_b, jaccard``: (smallest, other, 1.0) for each further member of a class, and one row for each pair of similar classes, under their smallest ids."""
-    copies, links = _found(docs, n, threshold, parts, id_col, text_col)
+    copies, links, _, _ = _found(docs, n, threshold, parts, id_col, text_col, True)
     return copies.withColumn("jaccard", F.lit(1.0)).unionAll(links)
 
 
-def _found(docs: DataFrame, n: int, threshold: float, parts: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Membership of classes (``doc_a`` the smallest id, ``doc_b`` another) and links between classes (``doc_a, doc_b, jaccard``)."""
+def _found(docs: DataFrame, n: int, threshold: float, parts: int, id_col: str, text_col: str, all_pairs: bool = False) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None]:
+    """Membership of classes (``doc_a`` the smallest id, ``doc_b`` another) and links between classes (``doc_a, doc_b, jaccard``).
+
+    Without ``all_pairs``, links within crowds are told by a number for each class (``class_id, n_links``) and a forest (``doc_a, doc_b``); None, if there are no crowds.
+    """
     if not 0 < threshold <= 1 or n < 1 or parts < 1:
         raise ValueError("threshold must lie in (0, 1], n and parts must be positive")
     sets = ngram_sets(docs, n, threshold, id_col, text_col)
@@ -464,7 +607,11 @@ def _found(docs: DataFrame, n: int, threshold: float, parts: int, id_col: str, t
     runs = heads.select("sig", "n", "grams").mapInArrow(lambda b: _scatter(((i, s, c, mix64(g)) for i, s, c, g in _grams_of_sets(b)), fragments, True), _SCATTERED)
     live = written(_bounce(runs, threshold).drop("sig").withColumnRenamed("doc_id", "sig"), "ngram_live")
 
-    found = live.select("sig", "n", "own", "grams").mapInArrow(_prefix(threshold, fragments), "part int, ids binary, n binary, pos binary, grams binary")
+    names = classes.groupBy("sig").agg(F.min("doc_a").alias("doc"))
+    crowds = _crowds(live, threshold)
+    found = live.select("sig", "n", "own", "grams")
+    found = found.withColumn("crowd", F.lit(None).cast("bigint")) if crowds is None else found.join(_sent(crowds), "sig", "left")
+    found = found.mapInArrow(_prefix(threshold, fragments), "part int, ids binary, n binary, pos binary, grams binary, crowds binary")
     found = found.groupBy("part").applyInArrow(_candidates(threshold), "a bigint, b bigint, n_a int, n_b int").distinct()
     found = written(found, "ngram_candidates")
 
@@ -484,11 +631,17 @@ def _found(docs: DataFrame, n: int, threshold: float, parts: int, id_col: str, t
     partial = segments.groupBy("key").cogroup(asked.groupBy("key")).applyInArrow(_partial, "a bigint, b bigint, overlap bigint")
     overlaps = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
     similar = overlaps.join(pairs, ["a", "b"]).withColumn("jaccard", F.col("overlap") / (F.col("n_a") + F.col("n_b") - F.col("overlap")))
-    similar = similar.where(F.col("jaccard") >= threshold - _EPS)
-    names = classes.groupBy("sig").agg(F.min("doc_a").alias("doc"))
+    similar, counts, edges = similar.where(F.col("jaccard") >= threshold - _EPS).select("a", "b", "jaccard"), None, None
+    if crowds is not None:
+        shared = names.join(names.groupBy("doc").count().where("count > 1"), "doc", "left_semi").select("sig")  # an id that heads several classes counts once
+        within = _crowd_links(live, crowds, shared, threshold, all_pairs)
+        similar = similar.unionAll(within.where(F.col("kind") == _PAIR).select("a", "b", "jaccard"))
+        of_a, of_b = names.select(F.col("sig").alias("a"), F.col("doc").alias("of_a")), names.select(F.col("sig").alias("b"), F.col("doc").alias("of_b"))
+        counts = within.where(F.col("kind") == _COUNT).groupBy("a").agg(F.sum("n_links").alias("n_links")).join(of_a, "a").select(F.col("of_a").alias("class_id"), "n_links")
+        edges = within.where(F.col("kind") == _EDGE).select("a", "b").distinct().join(of_a, "a").join(of_b, "b").select(F.col("of_a").alias("doc_a"), F.col("of_b").alias("doc_b"))
     similar = similar.join(names.select(F.col("sig").alias("a"), F.col("doc").alias("of_a")), "a").join(names.select(F.col("sig").alias("b"), F.col("doc").alias("of_b")), "b")
     similar = similar.where("of_a != of_b").groupBy(F.least("of_a", "of_b").alias("doc_a"), F.greatest("of_a", "of_b").alias("doc_b")).agg(F.max("jaccard").alias("jaccard"))
-    return copies, similar
+    return copies, similar, counts, edges
 
 
 def _class_weights(batches):
