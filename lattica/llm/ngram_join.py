@@ -305,7 +305,7 @@ def _crowds(live: DataFrame, threshold: float) -> DataFrame | None:
     posts = written(live.mapInArrow(_frequent(threshold, limit), "gram bigint, sig bigint"), "ngram_frequent")
     while True:
         long = posts.groupBy("gram").agg(F.count("*").alias("held"), F.min("sig").alias("first")).where(F.col("held") > limit)
-        lists = written(posts.join(long, "gram"), "ngram_lists")
+        lists = written(posts.hint("merge").join(long, "gram"), "ngram_lists")  # its files are so well packed that their size would have all of it broadcast
         if lists.isEmpty():
             return found
         group = groups(lists.select("sig", "first").distinct(), "sig", "first").select(F.col("member").alias("sig"), "head")

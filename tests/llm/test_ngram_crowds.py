@@ -1,8 +1,11 @@
 """Crowds of the n-gram join: sets with so many links that these are counted by blocks."""
 
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from lattica.llm import ngram_join
@@ -68,3 +71,17 @@ def test_crowds_write_no_pairs(spark, monkeypatch):
     found = ngram_join.ngram_jaccard_join(docs_of(spark, rows)).collect()
     assert len(found) == 300 and sum(r.n_links for r in found) > 60_000
     assert held["ngram_candidates"] < 300 and held["ngram_links"] < 300
+
+
+def test_candidates_of_a_crowd_take_no_memory():
+    """One task of 3,000 sets that are one crowd: no pair is held, where all 4.5 million were."""
+    sets, grams = 3000, 3
+    ids = np.repeat(np.arange(sets), grams)
+    columns = {"ids": ids, "n": np.full(sets * grams, 50, np.int32), "pos": np.zeros(sets * grams, np.int32), "grams": np.tile(np.arange(grams, dtype=np.uint64), sets)}
+    columns["crowds"] = np.stack([np.arange(sets), np.zeros(sets, np.int64)], 1)
+    table = pa.table({k: pa.array([v.tobytes()], pa.binary()) for k, v in columns.items()})
+    tracemalloc.start()
+    found = ngram_join._candidates(0.5)(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows == 0 and peak < 20_000_000
