@@ -33,6 +33,8 @@ _PLAIN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s
 _LEARNED = 100_000
 _LONG_PIECE = 64
 _LONG_TEXT = 4_000_000
+#: Characters of a text whose tokens the library may list at once.
+_WHOLE_TEXT = 900_000
 _STATE: dict = {}
 CACHES.append(_STATE.clear)
 
@@ -81,6 +83,19 @@ def prove_whole(ranks: dict[bytes, int], pattern: str = PRE_TOKENS) -> frozenset
     return frozenset(found)
 
 
+def _unproven(ranks: dict[bytes, int], whole: frozenset[str], exact) -> frozenset[int]:
+    """The ranks of pre-tokens that the library takes whole without merging leading there."""
+    found = []
+    for token, rank in ranks.items():
+        try:
+            text = token.decode()
+        except UnicodeDecodeError:
+            continue
+        if text not in whole and exact.findall(text) == [text]:
+            found.append(rank)
+    return frozenset(found)
+
+
 class _Pieces(dict):
     """Tokens in each pre-token; what is learned on the way is dropped when it grows large."""
 
@@ -113,6 +128,8 @@ def _counter(path: str, whole: frozenset[str]):
     encoding = tiktoken.Encoding("vocabulary", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
     pieces = _Pieces(whole, encoding.encode_ordinary, ranks)
     exact, proven, plain = regex.compile(PRE_TOKENS), whole.__contains__, {}
+    unproven, assigned, widths = _unproven(ranks, whole, exact), set(), np.zeros(max(ranks.values(), default=0) + 1, np.int64)
+    widths[list(ranks.values())] = list(map(len, ranks))
 
     def is_plain(text: str) -> bool:
         if text.isascii():
@@ -150,7 +167,18 @@ def _counter(path: str, whole: frozenset[str]):
             return 0
         return sum(split(text)[1]) if len(text) <= _LONG_TEXT else sum(n for _, n in sizes(text))
 
-    count.sizes, count.split, count.total = sizes, split, total
+    def encode(text: str) -> list[int] | None:
+        """The text's tokens from the library, in about half the time that ``pieces`` take; None where they may be others than by the definition."""
+        if len(text) > _WHOLE_TEXT:
+            return None
+        if not text.isascii() and (new := set(text) - assigned):
+            if any(unicodedata.category(c) == "Cn" for c in new):
+                return None  # engines differ in the characters they know
+            assigned.update(new)
+        found = encoding.encode_ordinary(text)
+        return found if not unproven or unproven.isdisjoint(found) else None
+
+    count.sizes, count.split, count.total, count.encode, count.widths, count.exact = sizes, split, total, encode, widths, exact
     _STATE.clear()
     _STATE[key] = count
     return count
@@ -200,6 +228,9 @@ def cut_text(text: str, capacity: int, tokenizer: str, whole: frozenset[str]) ->
         if held:
             yield text[start:], held
         return
+    if (ids := count.encode(text)) is not None:
+        yield from _cut_encoded(text, ids, capacity, run, count)
+        return
     pieces, sizes = count.split(text)
     total = sum(sizes)
     if total <= capacity:
@@ -218,6 +249,35 @@ def cut_text(text: str, capacity: int, tokenizer: str, whole: frozenset[str]) ->
         i, before = j, int(ends[j - 1])
 
 
+def _cut_encoded(text: str, ids: list[int], capacity: int, run: int, count) -> Iterator[tuple[str, int]]:
+    """``cut_text`` of a text whose tokens are known: pre-tokens are looked for only where a part must end."""
+    start = before = 0
+    if len(ids) > capacity:
+        ends = np.cumsum(count.widths[ids])
+        if not text.isascii():  # from bytes to the characters begun by then
+            ends = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80)[ends - 1]
+        while len(ids) - before > capacity:
+            stop = int(ends[before + capacity])  # the part and its last pre-token end before
+            at = text.rfind(" ", start, stop)
+            while at > start and text[at - 1].isspace():
+                at = text.rfind(" ", start, at)
+            end = at = max(at, start)  # a pre-token begins at a space after another character, whatever comes before
+            for m in count.exact.finditer(text, at):
+                if m.end() >= stop:
+                    break
+                end = m.end()
+            if end > start:
+                after = int(np.searchsorted(ends, end, side="right"))
+                yield text[start:end], after - before
+            else:
+                end = m.end()
+                after = int(np.searchsorted(ends, end, side="right"))
+                yield from ((x, count.total(x)) for k in range(start, end, run) if (x := text[k : min(k + run, end)]))
+            start, before = end, after
+    if before < len(ids):
+        yield text[start:], len(ids) - before
+
+
 def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokens of each document: ``doc_id, n_tokens, n_pretokens, n_direct, n_merged``.
 
