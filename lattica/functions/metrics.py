@@ -118,6 +118,11 @@ def normalize(a: Column) -> Column:
     return F.when(size > 0, F.transform(_doubles(a), lambda x: x / size)).otherwise(_doubles(a))
 
 
+def rounded(x: Column, places: int = 6) -> Column:
+    """Half away from zero.  A negative number of which nothing is left becomes -0.0, as when SQL rounds doubles; Spark's own ``round`` gives 0.0."""
+    return F.signum(x) * F.round(F.abs(x), places)
+
+
 def literal(vector) -> Column:
     """A query vector as a constant that Catalyst folds."""
     return F.lit([float(x) for x in vector]).cast("array<double>") if len(vector) else F.array().cast("array<double>")

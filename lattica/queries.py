@@ -54,7 +54,7 @@ def _page(rows: DataFrame, limit: int, offset: int = 0, ascending: bool = False)
     """``vec_id, score, rank`` of a page."""
     top = search.ranked(rows.select("vec_id", "score"), limit, offset, id_col="vec_id", ascending=ascending)
     order = F.col("score").asc() if ascending else F.col("score").desc()
-    return top.select("vec_id", F.round("score", 6).alias("score"), (F.row_number().over(Window.orderBy(order, "vec_id")) + offset).alias("rank"))
+    return top.select("vec_id", M.rounded(F.col("score"), 6).alias("score"), (F.row_number().over(Window.orderBy(order, "vec_id")) + offset).alias("rank"))
 
 
 def _knn(metric: str, limit: int = 10, offset: int = 0, spec: dict | None = None, min_score: float | None = None):
@@ -95,15 +95,15 @@ SELECT vec_id, {_DISTANCE[_m]} AS score FROM embeddings, {_QUERY} ORDER BY score
     )
 
 _NORM = "sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))"
-_register("vec_norm", lambda s, d: _table(s, d, "embeddings").select("vec_id", F.round(M.norm(F.col("embedding")), 6).alias("norm")), f"SELECT vec_id, round({_NORM}, 6) AS norm FROM embeddings")
+_register("vec_norm", lambda s, d: _table(s, d, "embeddings").select("vec_id", M.rounded(M.norm(F.col("embedding")), 6).alias("norm")), f"SELECT vec_id, round({_NORM}, 6) AS norm FROM embeddings")
 _register(
     "vec_normalize",
-    lambda s, d: _table(s, d, "embeddings").select("vec_id", F.transform(M.normalize(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit")),
+    lambda s, d: _table(s, d, "embeddings").select("vec_id", F.transform(M.normalize(F.col("embedding")), lambda x: M.rounded(x, 6)).alias("unit")),
     f"SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round(x / {_NORM}, 6)) AS unit FROM embeddings",
 )
 _register(
     "vec_parse",
-    lambda s, d: _table(s, d, "embeddings").select("vec_id", F.to_json("embedding").alias("written")).select("vec_id", F.size(M.parse_vector_column(F.col("written"))).alias("dims"), F.round(M.norm(M.parse_vector_column(F.col("written"))), 5).alias("norm")),
+    lambda s, d: _table(s, d, "embeddings").select("vec_id", F.to_json("embedding").alias("written")).select("vec_id", F.size(M.parse_vector_column(F.col("written"))).alias("dims"), M.rounded(M.norm(M.parse_vector_column(F.col("written"))), 5).alias("norm")),
     f"SELECT vec_id, len(embedding)::INT AS dims, round({_NORM}, 5) AS norm FROM embeddings",
 )
 
@@ -112,7 +112,7 @@ def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten nearest rows of every row, itself among them."""
     rows = _table(spark, sf_dir, "embeddings")
     queries = rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return search.knn_join(rows, queries, 10).withColumn("score", F.round("score", 6))
+    return search.knn_join(rows, queries, 10).withColumn("score", M.rounded(F.col("score"), 6))
 
 
 _register(
@@ -127,7 +127,7 @@ def knn_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three nearest to vec_id 0 in each label."""
     rows = search.scored(_with_query(spark, sf_dir), F.col("query"), "cosine", "embedding").select("label", "vec_id", "score")
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "vec_id"))
-    return rows.withColumn("rank", rank).where("rank <= 3").withColumn("score", F.round("score", 6))
+    return rows.withColumn("rank", rank).where("rank <= 3").withColumn("score", M.rounded(F.col("score"), 6))
 
 
 _register(
@@ -136,10 +136,10 @@ _register(
 SELECT label, vec_id, {_SIMILARITY["cosine"]} AS score FROM embeddings, {_QUERY})) WHERE rank <= 3""",
 )
 _PAIRS = "SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id"
-_register("pairwise_matrix", lambda s, d: M.pairwise(_table(s, d, "embeddings")).withColumn("score", F.round("score", 6)), f"SELECT a, b, round(score, 6) AS score FROM ({_PAIRS})")
+_register("pairwise_matrix", lambda s, d: M.pairwise(_table(s, d, "embeddings")).withColumn("score", M.rounded(F.col("score"), 6)), f"SELECT a, b, round(score, 6) AS score FROM ({_PAIRS})")
 _register(
     "score_histogram",
-    lambda s, d: M.score_histogram(M.pairwise(_table(s, d, "embeddings"))).select("bucket", "n", *[F.round(c, 6).alias(c) for c in ("min_score", "max_score", "avg_score")]),
+    lambda s, d: M.score_histogram(M.pairwise(_table(s, d, "embeddings"))).select("bucket", "n", *[M.rounded(F.col(c), 6).alias(c) for c in ("min_score", "max_score", "avg_score")]),
     f"""SELECT CASE WHEN score > 0.5 THEN 'high' WHEN score >= 0.2 THEN 'medium' ELSE 'low' END AS bucket, count(*) AS n,
 round(min(score), 6) AS min_score, round(max(score), 6) AS max_score, round(avg(score), 6) AS avg_score FROM ({_PAIRS}) GROUP BY 1""",
 )
@@ -187,7 +187,7 @@ def _changed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _register(
-    "upsert_replace", lambda s, d: catalog.upsert(_table(s, d, "customer"), _changed(s, d), "c_custkey").select("c_custkey", F.round("c_acctbal", 2).alias("c_acctbal")),
+    "upsert_replace", lambda s, d: catalog.upsert(_table(s, d, "customer"), _changed(s, d), "c_custkey").select("c_custkey", M.rounded(F.col("c_acctbal"), 2).alias("c_acctbal")),
     "SELECT c_custkey, round(CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal + 1000 ELSE c_acctbal END, 2) AS c_acctbal FROM customer",
 )
 _register(
@@ -234,7 +234,7 @@ len(regexp_extract_all(text, '[.!?]+'))::INT AS sentences, length(text) // 4 AS
 _register("sentence_split", lambda s, d: _docs(s, d).select("doc_id", T.split_sentences(F.col("text")).alias("sentences")), f"SELECT doc_id, {_SPLIT} AS sentences FROM documents")
 _register(
     "documents_by_language",
-    lambda s, d: stats.documents_by_type(_docs(s, d).withColumn("size", F.octet_length("text")), "lang").withColumn("avg_size", F.round("avg_size", 6)),
+    lambda s, d: stats.documents_by_type(_docs(s, d).withColumn("size", F.octet_length("text")), "lang").withColumn("avg_size", M.rounded(F.col("avg_size"), 6)),
     "SELECT lang AS type, count(*) AS documents, sum(strlen(text))::BIGINT AS total_size, round(avg(strlen(text)), 6) AS avg_size FROM documents GROUP BY lang",
 )
 _register(
@@ -331,7 +331,7 @@ _HASH = VectorizerConfig("hash", dimensions=128)
 
 def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = embed.embed_column(_table(spark, sf_dir, "benchmark"), _HASH)
-    return made.select("item_id", F.size("vector").alias("dims"), F.round(M.norm(F.col("vector")), 4).alias("norm"))
+    return made.select("item_id", F.size("vector").alias("dims"), M.rounded(M.norm(F.col("vector")), 4).alias("norm"))
 
 
 _register("embed_hash", embed_hash)
@@ -341,7 +341,7 @@ def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten documents nearest to each benchmark passage."""
     queries = embed.embed_column(_table(spark, sf_dir, "benchmark").select("item_id", "text"), _HASH).select(F.col("item_id").alias("query_id"), F.col("vector").alias("query"))
     rows = embed.embed_column(_docs(spark, sf_dir).select("doc_id", "text"), _HASH).select(F.col("doc_id").alias("id"), "vector")
-    return search.knn_join(rows, queries, 10, "cosine", "id", "vector").withColumn("score", F.round("score", 6))
+    return search.knn_join(rows, queries, 10, "cosine", "id", "vector").withColumn("score", M.rounded(F.col("score"), 6))
 
 
 def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,7 +363,7 @@ def multi_collection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _with_query(spark, sf_dir).withColumnRenamed("vec_id", "id")
     parts = {name: rows.where(f"label % 2 {sign} 0") for name, sign in (("even", "="), ("odd", "!="))}
     found = retrieval.multi_search(parts, F.col("query"), "cosine", 10, 0.1, vector_col="embedding", dedup=False)
-    return found.select("collection", "id", F.round("score", 6).alias("score"))
+    return found.select("collection", "id", M.rounded(F.col("score"), 6).alias("score"))
 
 
 _register(
@@ -376,7 +376,7 @@ SELECT vec_id, label, {_SIMILARITY["cosine"]} AS score FROM embeddings, {_QUERY}
 def multi_source_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _scored_table(spark, sf_dir)
     found = retrieval.multi_source({"web": rows.where("label % 2 = 0"), "documents": rows.where("label % 2 = 1")}, 10, 0.3)
-    return found.select("source_type", "id", F.round("score", 6).alias("score"), "rank")
+    return found.select("source_type", "id", M.rounded(F.col("score"), 6).alias("score"), "rank")
 
 
 _register(
@@ -385,7 +385,7 @@ _register(
 SELECT CASE WHEN label % 2 = 0 THEN 'web' ELSE 'documents' END AS source_type, vec_id AS id, {_SIMILARITY["cosine"]} AS score FROM embeddings, {_QUERY}) ORDER BY score DESC, id LIMIT 10) WHERE score >= 0.3""",
 )
 _register(
-    "dedup_best", lambda s, d: retrieval.dedup_best(_scored_table(s, d), F.col("label")).select("id", "label", F.round("score", 6).alias("score")),
+    "dedup_best", lambda s, d: retrieval.dedup_best(_scored_table(s, d), F.col("label")).select("id", "label", M.rounded(F.col("score"), 6).alias("score")),
     f"""SELECT id, label, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, id) AS n FROM (
 SELECT vec_id AS id, label, {_SIMILARITY["cosine"]} AS score FROM embeddings, {_QUERY})) WHERE n = 1""",
 )
@@ -447,7 +447,7 @@ def _held_out(n: int = 20, dims: int = 64) -> list[list[float]]:
 
 def hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = index.HnswIndex("cosine").build(_vectors(spark, sf_dir)).search_many(_held_out(), 10)
-    return found.withColumn("distance", F.round("distance", 6))
+    return found.withColumn("distance", M.rounded(F.col("distance"), 6))
 
 
 def hnsw_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -460,5 +460,5 @@ def hnsw_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 _register("hnsw_search", hnsw_search)
 _register("hnsw_recall", hnsw_recall)
 _register("hnsw_stats", lambda s, d: stats.index_stats(index.HnswIndex("cosine").build(_vectors(s, d)).nodes).select("vectors", "edges", "max_layer", "bytes"))
-_register("ivf_search", lambda s, d: index.IvfIndex("cosine", 16, 8).build(_vectors(s, d)).search(_held_out(1)[0], 10).withColumn("distance", F.round("distance", 6)))
+_register("ivf_search", lambda s, d: index.IvfIndex("cosine", 16, 8).build(_vectors(s, d)).search(_held_out(1)[0], 10).withColumn("distance", M.rounded(F.col("distance"), 6)))
 _register("supported_formats", lambda s, d: documents.supported_formats(s).select("type", "supported"))
