@@ -143,14 +143,6 @@ def parse_vector_column(text: Column) -> Column:
     return F.when(F.exists(numbers, lambda x: x.isNull()), None).otherwise(numbers)
 
 
-def pairwise(vectors: DataFrame, metric: Metric | int | str = Metric.COSINE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``a, b, score`` of every pair with a < b; the number of pairs is the square of that of rows, by definition."""
-    left = vectors.select(F.col(id_col).alias("a"), F.col(vector_col).alias("va"), norm(F.col(vector_col)).alias("na"))
-    right = vectors.select(F.col(id_col).alias("b"), F.col(vector_col).alias("vb"), norm(F.col(vector_col)).alias("nb"))
-    score = cosine(F.col("va"), F.col("vb"), F.col("na"), F.col("nb")) if Metric.parse(metric) is Metric.COSINE else similarity(metric, F.col("va"), F.col("vb"))
-    return left.join(right, F.col("a") < F.col("b")).select("a", "b", score.alias("score"))
-
-
 def score_histogram(scores: DataFrame, score_col: str = "score") -> DataFrame:
     """``bucket`` (high above 0.5, medium from 0.2, low), its number of pairs, and their least, greatest and mean score."""
     s = F.col(score_col)

@@ -87,3 +87,36 @@ def pairwise(vectors: DataFrame, metric: Metric | int | str = Metric.COSINE, id_
 
     to = to_arrow_type(kind)
     return _blocks(vectors, id_col, vector_col).mapInArrow(score, f"a {kind.simpleString()}, b {kind.simpleString()}, score double")
+
+
+def pairwise_histogram(vectors: DataFrame, metric: Metric | int | str = Metric.COSINE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """``score_histogram`` of all pairs with a < b, counted where they are made: no pair leaves its task."""
+    metric = Metric.parse(metric)
+    names = ["low", "medium", "high"]
+
+    def count(batches):
+        total = [[0, np.inf, -np.inf, 0.0] for _ in names]
+        for a, v, b, w, scores, same in _strips(batches, metric):
+            if same:
+                scores = np.where(a[:, None] < b[None, :], scores, -np.inf)
+            elif np.isin(a, b).any():
+                scores = np.where(a[:, None] != b[None, :], scores, -np.inf)
+            if metric is Metric.COSINE:  # the few at a bucket's bound, as SQL adds them up
+                for bound in (0.2, 0.5):
+                    if (close := np.abs(scores - bound) < CLOSE).any():
+                        i, j = np.nonzero(close)
+                        scores[i, j] = in_order(metric, v[i], w[j])[1]
+            flat = scores.ravel()
+            below = flat < 0.2
+            upper = flat[~below]
+            high = ~(upper <= 0.5)
+            lower = flat[below]
+            for k, x in enumerate((lower[lower > -np.inf], upper[~high], upper[high])):
+                if len(x):
+                    t = total[k]
+                    total[k] = [t[0] + len(x), min(t[1], x.min()), max(t[2], x.max()), t[3] + x.sum()]
+        held = [(n, *t) for n, t in zip(names, total, strict=True) if t[0]]
+        yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in held], k) for i, k in enumerate((pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))], names=["bucket", "n", "low", "high", "total"])
+
+    found = _blocks(vectors, id_col, vector_col).mapInArrow(count, "bucket string, n bigint, low double, high double, total double")
+    return found.groupBy("bucket").agg(F.sum("n").alias("n"), F.min("low").alias("min_score"), F.max("high").alias("max_score"), (F.sum("total") / F.sum("n")).alias("avg_score"))

@@ -139,7 +139,7 @@ _PAIRS = "SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embeddin
 _register("pairwise_matrix", lambda s, d: pairs.pairwise(_table(s, d, "embeddings")).withColumn("score", M.rounded(F.col("score"), 6)), f"SELECT a, b, round(score, 6) AS score FROM ({_PAIRS})")
 _register(
     "score_histogram",
-    lambda s, d: M.score_histogram(M.pairwise(_table(s, d, "embeddings"))).select("bucket", "n", *[M.rounded(F.col(c), 6).alias(c) for c in ("min_score", "max_score", "avg_score")]),
+    lambda s, d: pairs.pairwise_histogram(_table(s, d, "embeddings")).select("bucket", "n", *[M.rounded(F.col(c), 6).alias(c) for c in ("min_score", "max_score", "avg_score")]),
     f"""SELECT CASE WHEN score > 0.5 THEN 'high' WHEN score >= 0.2 THEN 'medium' ELSE 'low' END AS bucket, count(*) AS n,
 round(min(score), 6) AS min_score, round(max(score), 6) AS max_score, round(avg(score), 6) AS avg_score FROM ({_PAIRS}) GROUP BY 1""",
 )

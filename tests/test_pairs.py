@@ -63,3 +63,21 @@ def test_pairs_by_blocks(spark, monkeypatch, metric):
     named = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), (None, [1.0, 0.0])], "vec_id string, embedding array<float>")
     assert [tuple(r) for r in pairs.pairwise(named, "dot").collect()] == [("a", "b", 1.0)]
     assert pairs.pairwise(named.where("false")).count() == 0
+
+
+def test_histogram_of_pairs_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK", 9)
+    monkeypatch.setattr(pairs, "STRIP", 4)
+    rows = odd_rows() + [(100, [1.0, 1.0, 0.0, 0.0]), (101, [1.0, 0.0, 1.0, 0.0])]  # 0.5 is not above 0.5
+    df = spark.createDataFrame(rows, ROWS)
+    df = pairs.pairwise_histogram(df)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    got = {r.bucket: (r.n, *(round(x, 9) for x in (r.min_score, r.max_score, r.avg_score))) for r in df.collect()}
+    want = {}
+    for a, v in rows:
+        for b, w in rows:
+            if a < b:
+                s = 0.5 if (a, b) == (100, 101) else score("cosine", v, w)
+                want.setdefault("high" if s > 0.5 else "medium" if s >= 0.2 else "low", []).append(s)
+    assert got == {k: (len(x), *(round(y, 9) for y in (min(x), max(x), sum(x) / len(x)))) for k, x in want.items()}
