@@ -27,7 +27,7 @@ NODES = "shard int, id string, vector array<float>, layer int, connections map<i
 FOUND = "query_id int, id string, distance double"
 
 
-def _distances(metric: Metric, q: np.ndarray, v: np.ndarray) -> np.ndarray:
+def _distances(metric: Metric, q: np.ndarray, v: np.ndarray, size_q: float | None = None, size_v: np.ndarray | None = None) -> np.ndarray:
     if metric is Metric.EUCLIDEAN:
         return np.sqrt(((v - q) ** 2).sum(axis=1))
     if metric is Metric.MANHATTAN:
@@ -35,7 +35,7 @@ def _distances(metric: Metric, q: np.ndarray, v: np.ndarray) -> np.ndarray:
     product = v @ q
     if metric is Metric.DOT_PRODUCT:
         return -product
-    size = np.sqrt((v * v).sum(axis=1)) * math.sqrt(float(q @ q))
+    size = (np.sqrt((v * v).sum(axis=1)) if size_v is None else size_v) * (math.sqrt(float(q @ q)) if size_q is None else size_q)
     return 1.0 - np.divide(product, size, out=np.zeros_like(product), where=size > 0)
 
 
@@ -59,12 +59,17 @@ class Graph:
 
     def __init__(self, config: HnswConfig, metric: Metric, dims: int):
         self.config, self.metric = config, metric
-        self.vectors = np.zeros((0, dims))
+        self.hold(np.zeros((0, dims)))
         self.n = 0
         self.levels: list[int] = []
         self.links: list[list[list[int]]] = []
         self.entry = -1
 
+    def hold(self, vectors: np.ndarray) -> None:
+        """The vectors, and their sizes, which each distance would else take again."""
+        self.vectors = np.asarray(vectors, np.float64)
+        self.sizes = np.sqrt((self.vectors * self.vectors).sum(axis=1))
+
     def _level(self, key: str) -> int:
         draw = random.Random(zlib.crc32(key.encode()) ^ self.config.seed).random()
         return min(self.config.max_layer, int(-math.log(max(draw, 1e-12)) / math.log(self.config.m + 1)))
@@ -72,7 +77,8 @@ class Graph:
     def _layer(self, q: np.ndarray, start: list[int], ef: int, layer: int) -> list[tuple[float, int]]:
         """The ``ef`` nearest nodes that a best-first walk from ``start`` finds in a layer, nearest first."""
         seen = set(start)
-        first = _distances(self.metric, q, self.vectors[start])
+        size = math.sqrt(float(q @ q))
+        first = _distances(self.metric, q, self.vectors[start], size, self.sizes[start])
         near = [(float(d), s) for d, s in zip(first, start, strict=True)]
         heapq.heapify(near)
         kept = [(-d, s) for d, s in near]
@@ -85,7 +91,7 @@ class Graph:
             if not fresh:
                 continue
             seen.update(fresh)
-            for d, x in zip(_distances(self.metric, q, self.vectors[fresh]).tolist(), fresh, strict=True):
+            for d, x in zip(_distances(self.metric, q, self.vectors[fresh], size, self.sizes[fresh]).tolist(), fresh, strict=True):
                 if len(kept) < ef or d < -kept[0][0]:
                     heapq.heappush(near, (d, x))
                     heapq.heappush(kept, (-d, x))
@@ -96,7 +102,7 @@ class Graph:
     def _prune(self, node: int, layer: int) -> None:
         most, links = self.config.m0 if layer == 0 else self.config.m, self.links[node][layer]
         if len(links) > most:
-            d = _distances(self.metric, self.vectors[node], self.vectors[links])
+            d = _distances(self.metric, self.vectors[node], self.vectors[links], None, self.sizes[links])
             kept = [links[i] for i in np.argsort(d, kind="stable")[:most]]
             # A node that would lose its last link keeps this one.
             lone = [x for x in links if x not in kept and len(self.links[x][layer]) <= 1 and node in self.links[x][layer]]
@@ -106,7 +112,7 @@ class Graph:
                     self.links[x][layer].remove(node)
 
     def add_all(self, keys: list[str], vectors: np.ndarray) -> None:
-        self.vectors = np.asarray(vectors, np.float64)
+        self.hold(vectors)
         for key in keys:
             node, level, q = self.n, self._level(key), self.vectors[self.n]
             self.n += 1
@@ -208,6 +214,7 @@ class HnswIndex(Index):
         super().__init__(metric)
         self.config = config or HnswConfig()
         self.deleted: set[str] = set()
+        self.shards = 0
 
     def build(self, rows: DataFrame) -> HnswIndex:
         rows = _checked(rows, True)
@@ -225,8 +232,14 @@ class HnswIndex(Index):
             shard = table.column("shard").cast(pa.int32())
             return pa.table([shard, table.column("id"), table.column("vector").cast(pa.list_(pa.float32())), pa.array(graph.levels, pa.int32()), pa.array(links, schema.field("connections").type)], schema=schema)
 
-        dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-        self.nodes = dealt.groupBy("shard").applyInArrow(build, NODES)
+        def build_all(batches):
+            batches = list(batches)
+            if batches and (table := pa.Table.from_batches(batches)).num_rows:
+                yield from build(table).to_batches()
+
+        # A partition for each shard: Spark, which sees few bytes, would give one task many of them.
+        dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "vector").repartitionById(shards, F.col("shard"))
+        self.nodes = dealt.mapInArrow(build_all, NODES)
         return self
 
     def save(self, path: str) -> HnswIndex:
@@ -259,7 +272,8 @@ class HnswIndex(Index):
             ids = table.column("id").to_pylist()
             at = {x: i for i, x in enumerate(ids)}
             graph = Graph(config, metric, q.shape[1])
-            graph.vectors, graph.n = np.array(table.column("vector").to_pylist(), np.float64), len(ids)
+            graph.hold(np.array(table.column("vector").to_pylist(), np.float64))
+            graph.n = len(ids)
             graph.levels = table.column("layer").to_pylist()
             graph.links = [[[at[x] for x in held if x in at] for _, held in sorted(of)] for of in table.column("connections").to_pylist()]
             graph.entry = max(range(len(ids)), key=lambda i: (graph.levels[i], ids[i]))
@@ -267,7 +281,8 @@ class HnswIndex(Index):
             columns = list(zip(*out, strict=True)) if out else [[], [], []]
             return pa.table({"query_id": pa.array(columns[0], pa.int32()), "id": pa.array(columns[1], pa.string()), "distance": pa.array(columns[2], pa.float64())})
 
-        found = self.nodes.groupBy("shard").applyInArrow(search, FOUND)
+        nodes = self.nodes.repartition(2 * self.shards, "shard") if self.shards else self.nodes  # as in ``build``
+        found = nodes.groupBy("shard").applyInArrow(search, FOUND)
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
         return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
