@@ -163,11 +163,10 @@ def ingest(documents: DataFrame, vectorizer: VectorizerConfig | None = None, str
     An id is ``<document>_chunk_<position>``.  Chunks whose text couldn't be embedded come with their error.
     """
     good = documents.where("error IS NULL AND content IS NOT NULL")
-    chunks = chunk_documents(good.select("id", "content"), strategy, config, "id", "content").withColumnRenamed("content", "chunk")
-    about = good.select(F.col("id").alias("document_id"), F.col("title").alias("document_title"), F.col("type").alias("document_type"), F.col("metadata").alias("document_metadata"))
-    rows = chunks.withColumnRenamed("id", "document_id").join(about, "document_id")
+    about = good.select("id", "content", F.col("title").alias("document_title"), F.col("type").alias("document_type"), F.col("metadata")["filename"].alias("filename"))
+    rows = chunk_documents(about, strategy, config, "id", "content", ["document_title", "document_type", "filename"]).withColumnsRenamed({"id": "document_id", "content": "chunk"})
     named = F.transform_keys("metadata", lambda k, _: F.when(k.startswith("chunk_"), k).otherwise(F.concat(F.lit("chunk_"), k)))
-    own = _map({"document_id": F.col("document_id"), "document_title": F.col("document_title"), "document_type": F.col("document_type"), "chunk_position": F.col("position"), "chunk_size": F.col("size"), "filename": F.col("document_metadata")["filename"]})
+    own = _map({"document_id": F.col("document_id"), "document_title": F.col("document_title"), "document_type": F.col("document_type"), "chunk_position": F.col("position"), "chunk_size": F.col("size"), "filename": F.col("filename")})
     rows = rows.select(F.concat("document_id", F.lit("_chunk_"), F.col("position")).alias("id"), F.to_json(F.map_concat(own, named)).alias("metadata"), F.col("chunk").alias("content"))
     return embed_column(rows, vectorizer, "content", "vector", "error").select("id", "vector", "metadata", "content", "error")
 
